@@ -37,5 +37,7 @@ def calendar_year_gap(ts: Column, as_of) -> Column:
 
 
 def floor_days(later: Column, earlier: Column) -> Column:
-    """Whole days between two timestamps, floored (time of day counts)."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(MICROS_PER_DAY)).cast("long")
+    """Whole days between two timestamps, floored (time of day counts).
+    Zone-less timestamps are read as session-zone (UTC) wall time."""
+    diff = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    return F.floor(diff / F.lit(MICROS_PER_DAY)).cast("long")
