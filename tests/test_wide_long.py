@@ -64,5 +64,5 @@ def test_steplist_rejects_unknown_kind(spark):
 
 
 def test_names():
-    assert S.clean_name("Shortness of breath (finding), x") == "Shortness-of-breath"
+    assert S.clean_name("Shortness of breath (finding), x") == "Shortness-of-breath-x"
     assert S.name_from_file("heart-failure-2_icd10.csv") == "Heart failure"
