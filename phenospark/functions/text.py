@@ -21,6 +21,9 @@ CONDITION_SYNONYMS = ["syndrome", "infection", "infections", "disease", "disease
                       "symptoms"]
 IGNORE_WORDS = ["not", "use", "type", "using", "anything", "enjoying"]
 SPLIT_PATTERN = r"\s?/\s?|\s?\+\s?|\s?_\s?|\s"
+# A three-token description whose middle token is "of" ("A of B" -> "B A").
+_SEP = r"(?:\s?/\s?|\s?\+\s?|\s?_\s?|\s)"
+A_OF_B = r"^([^\s/+_]*)" + _SEP + "of" + _SEP + r"([^\s/+_]*)$"
 NOT_DIFFERENTIATING_CUTOFF = 0.15
 SIMILARITY_MATCH = 0.8
 MIN_TERM_LENGTH = 5
@@ -51,13 +54,13 @@ def clean_word(c: Column) -> Column:
 
 
 def singular(c: Column) -> Column:
-    """Plain plural rule: -ies -> -y; -ches/-shes/-xes/-sses drop -es; a final
-    -s goes unless the word ends in -ss, -us or -is."""
-    return (F.when(c.rlike("[a-z]{2}ies$"), F.regexp_replace(c, "ies$", "y"))
-            .when(c.rlike("(ss|us|is)$"), c)
-            .when(c.rlike("(ches|shes|xes|sses)$"), F.regexp_replace(c, "es$", ""))
-            .when(c.rlike("[a-z]{3}s$"), F.regexp_replace(c, "s$", ""))
-            .otherwise(c))
+    """Plain plural rule: -ies -> -y (two letters before); -ches/-shes/-xes/
+    -sses drop -es; a final -s goes after three letters unless the word ends
+    in -ss, -us or -is.  A chain of single-reference replacements, so the
+    expression stays linear when the optimizer inlines it."""
+    c = F.regexp_replace(c, "([a-z]{2})ies$", "$1y")
+    c = F.regexp_replace(c, "(ch|sh|x|ss)es$", "$1")
+    return F.regexp_replace(c, "([a-z]{2}[a-hj-rtv-z])s$", "$1")
 
 
 def ignored(c: Column) -> Column:
@@ -81,10 +84,10 @@ def name_words(name: Column) -> Column:
                     lambda w: w != "")
 
 
-def related_to_name(term: Column, words: Column) -> Column:
+def related_to_name(term: Column, words: Column, singular_term: Column | None = None) -> Column:
     """A term belongs to the name when it contains, or is contained in, a
     word of the name (also after the plural rule)."""
-    st = singular(term)
+    st = singular(term) if singular_term is None else singular_term
     return F.exists(words, lambda w: F.contains(w, term) | F.contains(term, w) | F.contains(singular(w), st))
 
 

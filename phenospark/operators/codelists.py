@@ -34,18 +34,18 @@ def _with_name(cl: DataFrame, name) -> DataFrame:
 # K1 -----------------------------------------------------------------------------
 def clean_headers(cl: DataFrame) -> DataFrame:
     """Header keys -> lower case letters and digits; when two keys clean to
-    the same name the later one wins."""
+    the same name the later one wins.  (One fold over the entries, so the
+    expression references its input once.)"""
     ent = F.transform(F.map_entries("attrs"),
                       lambda e: F.struct(TX.full_clean(e["key"]).alias("key"), e["value"].alias("value")))
-    kept = F.filter(ent, lambda e, i: ~F.exists(F.slice(ent, i + 2, F.greatest(F.size(ent), F.lit(1))),
-                                                 lambda x: x["key"] == e["key"]))
-    return cl.withColumn("attrs", F.map_from_entries(kept))
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    dedup = F.aggregate(ent, empty, lambda acc, e: F.concat(F.filter(acc, lambda x: x["key"] != e["key"]), F.array(e)))
+    return cl.withColumn("attrs", F.map_from_entries(dedup))
 
 
 def included(cl: DataFrame) -> DataFrame:
     """Rows whose ``case_incl`` is absent, empty or not 'N'."""
-    ci = F.col("attrs")["caseincl"]
-    return cl.where(ci.isNull() | (ci == "") | (ci != "N"))
+    return cl.where(F.coalesce(F.col("attrs")["caseincl"], F.lit("")) != "N")
 
 
 # K2 -----------------------------------------------------------------------------
@@ -64,21 +64,26 @@ def resolve_code(cl: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # K3 -----------------------------------------------------------------------------
-def description_expr(attrs: Column | None = None) -> Column:
-    attrs = F.col("attrs") if attrs is None else attrs
-    keys = F.map_keys(attrs)
-    raw = F.coalesce(*[F.when(F.array_contains(keys, k), F.coalesce(attrs[k], F.lit(""))) for k in TX.DESCRIPTION_KEYS])
+def with_description(df: DataFrame, attrs: str = "attrs", out: str = "description") -> DataFrame:
+    """Adds the description: the first present of the known description
+    headers; '[X]'/'[D]' dropped; a three-word "A of B" becomes "B A"; in
+    longer descriptions the ignored words are left out.  Each intermediate
+    is referenced once or twice, so the expression stays small even when
+    the optimizer inlines it into later filters."""
+    a = F.col(attrs)
+    keys = F.map_keys(a)
+    raw = F.coalesce(*[F.when(F.array_contains(keys, k), F.coalesce(a[k], F.lit(""))) for k in TX.DESCRIPTION_KEYS])
     d = TX.replace_first(TX.replace_first(raw, "[X]"), "[D]")
-    parts = TX.split_terms(d)
-    parts = F.when((F.size(parts) == 3) & (_at(parts, 2) == "of"),
-                   F.array(_at(parts, 3), _at(parts, 1))).otherwise(parts)
+    swapped = F.regexp_replace(d, TX.A_OF_B, "$2 $1")
+    df = df.withColumn("_d", swapped)
+    parts = TX.split_terms(F.col("_d"))
     kept = F.array_join(F.filter(parts, lambda w: ~TX.ignored(TX.clean_word(w))), " ")
-    out = F.when(F.size(parts) > 1, kept).otherwise(d)
-    return F.when(F.coalesce(raw, F.lit("")) != "", out)
+    df = df.withColumn(out, F.when(F.col("_d") != "", F.when(F.size(parts) > 1, kept).otherwise(F.col("_d"))))
+    return df.drop("_d")
 
 
 def resolve_description(cl: DataFrame) -> DataFrame:
-    return cl.withColumn("description", description_expr(F.col("attrs")))
+    return with_description(cl)
 
 
 # K4 -----------------------------------------------------------------------------
@@ -110,7 +115,8 @@ def _terms(cl: DataFrame) -> DataFrame:
     """``(filename, name, row_no, pos, term)`` for every description word."""
     d = cl.where(F.col("description").isNotNull())
     ex = d.select("filename", "name", "row_no", F.posexplode(TX.split_terms("description")).alias("pos", "raw"))
-    return ex.select("filename", "name", "row_no", "pos", TX.singular(TX.full_clean(F.col("raw"))).alias("term"))
+    ex = ex.withColumn("_c", TX.full_clean(F.col("raw")))
+    return ex.select("filename", "name", "row_no", "pos", TX.singular(F.col("_c")).alias("term"))
 
 
 def term_counts(cl: DataFrame, name=None) -> DataFrame:
@@ -119,9 +125,10 @@ def term_counts(cl: DataFrame, name=None) -> DataFrame:
     the most frequent (ties: first seen)."""
     cl = _with_name(cl, name) if name is not None else cl
     if "description" not in cl.columns:
-        cl = resolve_description(cl)
-    t = _terms(included(cl))
-    t = t.where((F.length("term") >= TX.MIN_TERM_LENGTH) & ~TX.related_to_name(F.col("term"), TX.name_words(F.col("name"))))
+        cl = with_description(cl)
+    t = _terms(included(cl)).where(F.length("term") >= TX.MIN_TERM_LENGTH)
+    t = t.withColumn("_nw", TX.name_words(F.col("name"))).withColumn("_st", TX.singular(F.col("term")))
+    t = t.where(~TX.related_to_name(F.col("term"), F.col("_nw"), F.col("_st")))
     agg = (t.groupBy("filename", "term")
            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_no", "pos")).alias("first"))
            .where(F.col("n") > 1))
@@ -167,28 +174,26 @@ def _word_term_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
     the same file: similar (bigram Dice >= 0.8) or contained either way.
 
     Every such pair shares a bigram (or, for one-letter words, a letter), so
-    the pairs are found by an equi-join on ``(filename, bigram)`` — a blocking
-    join, not all word x term pairs — and then verified."""
-    def grams(df, col):
-        s = F.col(col)
-        n = F.greatest(F.length(s) - 1, F.lit(1))
-        g = F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, 2))) \
-             .otherwise(F.array(s))
-        return df.select("filename", col, F.explode(F.array_distinct(g)).alias("gram"))
-
-    def letters(df, col):
-        s = F.col(col)
-        return df.select("filename", col, F.explode(F.array_distinct(F.split(s, ""))).alias("gram"))
-
-    w_multi = words.where(F.length("sw") >= 2)
-    w_one = words.where(F.length("sw") == 1)
-    cand = (grams(w_multi, "sw").join(grams(terms, "term"), ["filename", "gram"])
-            .unionByName(w_one.select("filename", "sw", F.col("sw").alias("gram"))
-                         .join(letters(terms, "term"), ["filename", "gram"]))
-            .select("filename", "sw", "term").distinct())
-    ok = ((TX.bigram_dice(F.col("sw"), F.col("term")) >= F.lit(TX.SIMILARITY_MATCH))
-          | F.contains(F.col("term"), F.col("sw")) | F.contains(F.col("sw"), F.col("term")))
-    return cand.where(ok)
+    the pairs are found by an equi-join on ``(filename, gram)`` — a blocking
+    join, not all word x term pairs — and then verified with bigram
+    multisets computed once per word and once per term."""
+    def prep(df, col):
+        df = df.withColumn("_nb", TX.numbered_bigrams(F.col(col)))
+        return df.withColumn("_grams", F.when(F.length(col) >= 2, F.array_distinct(
+            F.transform(F.col("_nb"), lambda b: F.substring_index(b, "#", 1)))).otherwise(F.split(F.col(col), "")))
+
+    w = prep(words, "sw").select("filename", "sw", F.col("_nb").alias("wb"), "_grams")
+    t = prep(terms, "term").select("filename", "term", F.col("_nb").alias("tb"), "_grams")
+    wg = w.select("filename", "sw", F.explode("_grams").alias("gram"))
+    tg = t.select("filename", "term", F.explode("_grams").alias("gram"))
+    cand = wg.join(tg, ["filename", "gram"]).select("filename", "sw", "term").distinct()
+    pairs = cand.join(w.drop("_grams"), ["filename", "sw"]).join(t.drop("_grams"), ["filename", "term"])
+    inter = F.size(F.array_intersect("wb", "tb"))
+    dice = (F.when(F.col("sw") == F.col("term"), F.lit(1.0))
+            .when((F.length("sw") < 2) | (F.length("term") < 2), F.lit(0.0))
+            .otherwise(2.0 * inter / (F.length("sw") + F.length("term") - 2)))
+    ok = (dice >= F.lit(TX.SIMILARITY_MATCH)) | F.contains(F.col("term"), F.col("sw")) | F.contains(F.col("sw"), F.col("term"))
+    return pairs.where(ok).select("filename", "sw", "term")
 
 
 def categorise(cl: DataFrame, name=None) -> DataFrame:
@@ -206,7 +211,7 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
     """
     cl = _with_name(cl, name) if name is not None else cl
     inc = included(cl)
-    inc = inc.withColumn("description", description_expr(F.col("attrs"))).withColumn("code", code_expr(F.col("attrs")))
+    inc = with_description(inc).withColumn("code", code_expr(F.col("attrs")))
     grp = coding_system_group(cl)
     nrows = inc.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
     tc = non_differentiating_terms(term_counts(inc)).where(~F.col("excluded")).select("filename", "term", "rank")
@@ -214,25 +219,27 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
 
     described = inc.where(F.col("description").isNotNull() & (F.col("description") != ""))
     words = (described.select("filename", "row_no", F.explode(F.split("description", " ")).alias("w"))
-             .select("filename", "row_no", TX.singular(TX.full_clean(F.col("w"))).alias("sw"))
+             .withColumn("_c", TX.full_clean(F.col("w")))
+             .select("filename", "row_no", TX.singular(F.col("_c")).alias("sw"))
              .where(F.col("sw") != ""))
     matches = _word_term_matches(words.select("filename", "sw").distinct(), tc.select("filename", "term"))
     # rarest first = greatest rank
     best = (words.join(matches, ["filename", "sw"]).join(tc, ["filename", "term"])
             .groupBy("filename", "row_no").agg(F.max_by("term", "rank").alias("matched")))
 
-    parts = TX.split_terms(F.col("description"))
-    unrelated = F.exists(parts, lambda t: ~TX.related_to_name(F.lower(t), TX.name_words(F.col("name"))))
+    d = (described.join(best, ["filename", "row_no"], "left").join(has_terms, "filename", "left")
+         .join(nrows, "filename"))
+    d = (d.withColumn("_parts", TX.split_terms(F.col("description")))
+         .withColumn("_nw", TX.name_words(F.col("name")))
+         .withColumn("_lname", F.split(F.lower(F.col("name")), " ")))
+    parts, nw = F.col("_parts"), F.col("_nw")
+    unrelated = F.exists(parts, lambda t: ~TX.related_to_name(F.lower(t), nw))
     key_term = (F.when(F.size(parts) == 1, F.col("description"))
                 .when(unrelated, F.col("name"))
                 .otherwise(_at(F.filter(parts, lambda t: ~TX.ignored(TX.clean_word(t))), 1)))
-    name_ws = F.split(F.lower(F.col("name")), " ")
     capitalised = F.array_join(F.transform(F.split(F.col("description"), " "), lambda w: F.when(
-        F.exists(name_ws, lambda n: F.contains(n, F.lower(w))) & (w != ""),
+        F.exists(F.col("_lname"), lambda n: F.contains(n, F.lower(w))) & (w != ""),
         F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))).otherwise(w)), " ")
-
-    d = (described.join(best, ["filename", "row_no"], "left").join(has_terms, "filename", "left")
-         .join(nrows, "filename"))
     d = d.select("filename", "row_no", "code", F.when(F.col("has_terms"), F.coalesce(F.col("matched"), key_term))
                  .when(F.col("rows") == 1, capitalised).otherwise(F.col("name")).alias("category_key"))
     other = inc.where(F.col("description").isNull() | (F.col("description") == ""))
