@@ -18,9 +18,10 @@ def test_tbc_matches_by_hand(spark):
     assert m[(2, 3)] == (1, 0.5) and m[(2, 2)] == (1, round(1 / 3, 6))
     cands = {r["cluster"]: r["mean_match"] for r in T.tbc_candidates(T.tbc_matches(wide, 4, "jaccard"), 0.8).collect()}
     assert set(cands) == {0, 3}  # cluster 3 = {4,5}: 2/3 and 1
-    out = T.tbc_output(wide, T.tbc_candidates(T.tbc_matches(wide, 4, "jaccard"), 0.9), 4).collect()
-    assert sorted((r["instance_index"], r["cluster_name"]) for r in out) == [(0, "partition_k_4_cluster_0"),
-                                                                             (1, "partition_k_4_cluster_0")]
+    out = T.tbc_output(wide, T.tbc_candidates(T.tbc_matches(wide, 4, "jaccard"), 0.8), 4).collect()
+    assert sorted((r["instance_index"], r["cluster_name"]) for r in out) == [
+        (0, "partition_k_4_cluster_0"), (1, "partition_k_4_cluster_0"),
+        (4, "partition_k_4_cluster_3"), (5, "partition_k_4_cluster_3")]
 
 
 def test_tbc_ties_go_to_lowest_cluster(spark):
