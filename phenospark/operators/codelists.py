@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.functions import text as TX
+from phenospark.session import cut_lineage
 
 
 def _at(arr: Column, i: int) -> Column:
@@ -210,11 +211,13 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
       else ``"Use of " + drugsubstance`` for product codes.
     """
     cl = _with_name(cl, name) if name is not None else cl
-    inc = included(cl)
-    inc = with_description(inc).withColumn("code", code_expr(F.col("attrs")))
-    grp = coding_system_group(cl)
+    # The prepared rows and the candidate terms feed several branches below;
+    # each is materialised once (reliable checkpoint) instead of re-derived.
+    inc = cut_lineage(with_description(included(cl)).withColumn("code", code_expr(F.col("attrs"))))
+    grp = coding_system_group(inc)
     nrows = inc.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
-    tc = non_differentiating_terms(term_counts(inc)).where(~F.col("excluded")).select("filename", "term", "rank")
+    counts = cut_lineage(term_counts(inc))
+    tc = cut_lineage(non_differentiating_terms(counts).where(~F.col("excluded")).select("filename", "term", "rank"))
     has_terms = tc.select("filename").distinct().withColumn("has_terms", F.lit(True))
 
     described = inc.where(F.col("description").isNotNull() & (F.col("description") != ""))

@@ -152,3 +152,50 @@ ORACLES = {
     "k7_file_category": SQL_K7,
     "k13_fingerprint": SQL_K13,
 }
+
+
+# --- keyword lists, step names, definition groups --------------------------------------
+KEYWORD_LIST = ["licen[cs]e agreement", "licen[cs]e", "copyright notice", "secret token", r"\\bpassword\\b"]
+
+
+def q_c17_keyword_list(spark, sf):
+    from phenospark.plans.keywords import evaluate_keyword_list
+
+    kw = spark.createDataFrame(list(enumerate(KEYWORD_LIST)), "row_no long, keyword string")
+    d = R.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("patient-id"), "text")
+    return evaluate_keyword_list(d, kw, "Legal")
+
+
+def q_k18_distinct_step_names(spark, sf):
+    li = R.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    steps = (li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
+             .select(F.col("l_orderkey").alias("definition"), F.col("l_linenumber").alias("position"),
+                     F.concat(F.lower("f"), F.lit("-step")).alias("name"), F.lower("s").alias("file_category")))
+    return K.distinct_step_names(steps)
+
+
+def q_k19_group_definitions(spark, sf):
+    p = R.table(spark, sf, "part").select("p_type", "p_size", "p_brand")
+    meta = p.select(F.initcap("p_type").alias("name"),
+                    F.when(F.col("p_size") > 25, "large").otherwise("small").alias("title"),
+                    F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit(".csv")).alias("filename"))
+    return K.group_definitions(meta)
+
+
+SQL_K18 = """
+WITH st AS (SELECT l_orderkey AS definition, l_linenumber AS position, lower(min(l_returnflag)) || '-step' AS name,
+                   lower(min(l_linestatus)) AS file_category FROM lineitem GROUP BY l_orderkey, l_linenumber),
+c1 AS (SELECT definition, name, count(*) AS n FROM st GROUP BY ALL),
+s AS (SELECT st.*, CASE WHEN c1.n > 1 AND coalesce(file_category, '') <> '' THEN st.name || '-' || file_category ELSE st.name END AS step_name
+      FROM st JOIN c1 USING (definition, name)),
+c2 AS (SELECT definition, step_name, count(*) AS m FROM s GROUP BY ALL)
+SELECT s.definition, s.position, s.name, s.step_name, c2.m > 1 AS rejected FROM s JOIN c2 USING (definition, step_name)"""
+
+SQL_K19 = """
+SELECT upper(p_type[1]) || lower(p_type[2:]) AS name, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS title,
+       list_sort(list(DISTINCT lower(replace(p_brand, '#', '-')) || '.csv')) AS files
+FROM part GROUP BY ALL"""
+
+QUERIES.update({"c17_keyword_list": q_c17_keyword_list, "k18_distinct_step_names": q_k18_distinct_step_names,
+                "k19_group_definitions": q_k19_group_definitions})
+ORACLES.update({"k18_distinct_step_names": SQL_K18, "k19_group_definitions": SQL_K19})
