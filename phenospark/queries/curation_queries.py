@@ -199,3 +199,34 @@ FROM part GROUP BY ALL"""
 QUERIES.update({"c17_keyword_list": q_c17_keyword_list, "k18_distinct_step_names": q_k18_distinct_step_names,
                 "k19_group_definitions": q_k19_group_definitions})
 ORACLES.update({"k18_distinct_step_names": SQL_K18, "k19_group_definitions": SQL_K19})
+
+
+def _nb(x):
+    """Numbered bigrams of x in DuckDB list functions."""
+    return (f"list_transform(range(1, length({x})), lambda i: substr({x}, i, 2) || '#' || "
+            f"CAST(len(list_filter(range(1, i + 1), lambda j: substr({x}, j, 2) = substr({x}, i, 2))) AS VARCHAR))")
+
+
+SQL_K8 = "WITH " + ND + f""",
+cand AS (SELECT filename, term AS cterm, rank FROM nd WHERE NOT excluded),
+words AS (SELECT filename, row_no, term AS sw FROM s WHERE term <> ''),
+pairs AS (SELECT w.filename, w.row_no, c.cterm, c.rank,
+                 CASE WHEN w.sw = c.cterm THEN 1.0 WHEN length(w.sw) < 2 OR length(c.cterm) < 2 THEN 0.0
+                      ELSE 2.0 * len(list_intersect({_nb("w.sw")}, {_nb("c.cterm")})) / (length(w.sw) + length(c.cterm) - 2) END AS dice,
+                 contains(c.cterm, w.sw) OR contains(w.sw, c.cterm) AS contained
+          FROM words w JOIN cand c USING (filename)),
+best AS (SELECT filename, row_no, arg_max(cterm, rank) AS matched FROM pairs WHERE dice >= 0.8 OR contained GROUP BY ALL),
+grp AS (SELECT DISTINCT {FNAME} AS filename, CASE WHEN {FILE} <= 9 THEN 'primary' ELSE 'secondary' END AS g FROM part WHERE {INCL}),
+r AS (SELECT {FNAME} AS filename, p_partkey AS row_no, CAST(p_partkey AS VARCHAR) AS code FROM part WHERE {INCL}),
+k AS (SELECT r.*, coalesce(best.matched, 'Part') AS key, grp.g FROM r LEFT JOIN best USING (filename, row_no) JOIN grp USING (filename)),
+lab AS (SELECT *, CASE WHEN contains(regexp_replace(lower(key), '[^a-z0-9]', '', 'g'), 'part')
+                            OR contains('part', regexp_replace(lower(key), '[^a-z0-9]', '', 'g')) THEN key ELSE key || ' Part' END AS app
+        FROM k),
+sw AS (SELECT *, CASE WHEN len(string_split(app, ' ')) = 2 AND lower(string_split(app, ' ')[2]) = 'part'
+                           AND NOT regexp_matches(lower(string_split(app, ' ')[1]), '(ic|al|ous|ive|ful|less|able|ible|ary|ant|ent|ed|ing)$')
+                      THEN 'part ' || lower(string_split(app, ' ')[1]) ELSE app END AS swapped FROM lab)
+SELECT CASE WHEN key = 'Part' THEN key ELSE upper(substr(swapped, 1, 1)) || substr(swapped, 2) END || ' - ' || g AS category,
+       filename, row_no, code
+FROM sw"""
+
+ORACLES["k8_categories"] = SQL_K8
