@@ -94,26 +94,32 @@ def codelists_temporal_events(events: DataFrame, patients: DataFrame, category:
 
 # C11 ------------------------------------------------------------------------
 def multi_codelist_long(events: DataFrame, codelists: DataFrame, required: int = 1) -> DataFrame:
-    """``(patient_id, category, n_hits)`` for every (patient, category) with a
-    hit: all categories in one join and one aggregate instead of one scan per
-    category.  ``codelists`` is ``(category, code)``."""
+    """``(patient_id, category, n_hits)`` for every (patient, category) with
+    enough hits: all categories in one join and one aggregate instead of one
+    scan per category.  ``codelists`` is ``(category, code)``.  Events are
+    de-duplicated by ``(patient, code, ts)`` first (keyed by the triple, so a
+    hot patient spreads over tasks); the counts are then plain counts."""
     cl = codelists.select("category", "code").distinct()
-    joined = events.join(maybe_broadcast(cl), "code")
-    return (joined.groupBy("patient_id", "category")
-            .agg(F.count_distinct("code", "ts").alias("n_hits"))
+    dev = events.select("patient_id", "code", "ts").distinct()
+    joined = dev.join(maybe_broadcast(cl), "code")
+    return (joined.groupBy("patient_id", "category").agg(F.count(F.lit(1)).alias("n_hits"))
             .where(F.col("n_hits") >= F.lit(int(required))))
 
 
 def multi_codelist(events: DataFrame, patients: DataFrame, codelists: DataFrame,
                    categories: Sequence[str], required: int = 1) -> DataFrame:
-    """One ``<category>-identified`` column per category (the category list
-    is given, so the pivot needs no extra pass to discover values)."""
+    """One ``<category>-identified`` column per category.  The category list
+    is given, so one aggregate keyed by patient computes a conditional count
+    per category (map-side combined) — no pivot pass, one shuffle."""
     categories = list(categories)
     if not categories:
-        raise ValueError("give the categories to pivot on")
-    long = multi_codelist_long(events, codelists.where(F.col("category").isin(categories)), required)
-    wide = long.groupBy("patient_id").pivot("category", categories).agg(F.max("n_hits"))
-    flags = [case_flag(q(c).isNotNull()).alias(f"{c}-{IDENTIFIED}") for c in categories]
+        raise ValueError("give the categories")
+    cl = codelists.where(F.col("category").isin(categories)).select("category", "code").distinct()
+    dev = events.select("patient_id", "code", "ts").distinct()
+    joined = dev.join(maybe_broadcast(cl), "code")
+    wide = joined.groupBy("patient_id").agg(
+        *[F.count(F.when(F.col("category") == F.lit(c), F.lit(1))).alias(f"_n{i}") for i, c in enumerate(categories)])
+    flags = [case_flag(F.col(f"_n{i}") >= F.lit(int(required))).alias(f"{c}-{IDENTIFIED}") for i, c in enumerate(categories)]
     return patients.select("patient_id").join(wide, "patient_id", "left").select("patient_id", *flags)
 
 

@@ -66,12 +66,11 @@ def cell_item(code, ts):
 
 def pack_events(events: DataFrame) -> DataFrame:
     """``(patient_id, codes)``: distinct ``(code,date)`` items, sorted, joined
-    by commas.  Items are de-duplicated before the per-patient collect, so a
-    patient with a huge raw history only ships its distinct items (the partial
-    aggregate also de-duplicates map-side)."""
-    items = events.select("patient_id", cell_item(F.col("code"), F.col("ts")).alias("item")).distinct()
-    return items.groupBy("patient_id").agg(
-        F.array_join(F.sort_array(F.collect_list("item")), ",").alias("codes"))
+    by commas.  ``collect_set`` de-duplicates in its map-side partial
+    aggregate, so a patient with a huge raw history ships only its distinct
+    items per map task, in one shuffle keyed by patient."""
+    items = events.select("patient_id", cell_item(F.col("code"), F.col("ts")).alias("item"))
+    return items.groupBy("patient_id").agg(F.array_join(F.sort_array(F.collect_set("item")), ",").alias("codes"))
 
 
 def cohort_from_parts(pats: DataFrame, events: DataFrame, last_enc: DataFrame) -> DataFrame:

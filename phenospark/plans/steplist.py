@@ -232,14 +232,21 @@ def evaluate_steplist_events(events: DataFrame, patients: DataFrame, steps: list
                            F.date_format("last_ts", "yyyy-MM-dd").alias("last-encounter"))
     if coded:
         sc = _step_codes(steps, categories)
-        joined = events.join(maybe_broadcast(sc), "code")
-        per = joined.groupBy("patient_id", "step").agg(
-            F.count_distinct(F.when(F.col("role") == "count", F.struct("code", "ts"))).alias("n"),
-            F.max(F.when(F.col("role") == "before", F.col("ts"))).alias("b"),
-            F.min(F.when(F.col("role") == "after", F.col("ts"))).alias("a"))
-        cols = [s.column for s in coded]
-        wide = per.groupBy("patient_id").pivot("step", cols).agg(
-            F.first("n").alias("n"), F.first("b").alias("b"), F.first("a").alias("a"))
+        # Distinct (patient, code, ts) once: keyed by the triple, so a hot
+        # patient is spread over tasks; then one aggregate keyed by patient
+        # computes every step's count / latest-before / earliest-after as
+        # conditional algebraic aggregates (map-side combined, one shuffle).
+        dev = events.select("patient_id", "code", "ts").distinct()
+        joined = dev.join(maybe_broadcast(sc), "code")
+        aggs = []
+        for st in coded:
+            mine = F.col("step") == F.lit(st.column)
+            if st.kind in ("codelist", "exclude"):
+                aggs.append(F.count(F.when(mine & (F.col("role") == "count"), F.lit(1))).alias(f"{st.column}_n"))
+            else:
+                aggs.append(F.max(F.when(mine & (F.col("role") == "before"), F.col("ts"))).alias(f"{st.column}_b"))
+                aggs.append(F.min(F.when(mine & (F.col("role") == "after"), F.col("ts"))).alias(f"{st.column}_a"))
+        wide = joined.groupBy("patient_id").agg(*aggs)
         base = base.join(wide, "patient_id", "left")
     exprs = {}
     for s in coded:
