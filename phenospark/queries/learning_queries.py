@@ -101,6 +101,17 @@ def q_m8_svc(spark, sf):
     return _classify(spark, sf, "svc", binary=True)
 
 
+def q_w4_row_index(spark, sf):
+    from phenospark.operators.frames import row_index
+
+    o = R.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return row_index(o, "o_orderkey")
+
+
+def q_m10_output_predictions(spark, sf):
+    return M.output_predictions(q_m4_logistic_regression(spark, sf), "row_id")
+
+
 GIVEN = """
 g AS (SELECT c_custkey AS row_id,
              least(1, CAST(floor((c_acctbal + 1000.0) / 11000.0 * 2) AS INTEGER)) AS c2,
@@ -160,6 +171,8 @@ QUERIES = {
     "m6_random_forest": q_m6_random_forest,
     "m7_gradient_boosting": q_m7_gradient_boosting,
     "m8_svc": q_m8_svc,
+    "w4_row_index": q_w4_row_index,
+    "m10_output_predictions": q_m10_output_predictions,
 }
 ORACLES = {
     "t2_tbc_matches": SQL_T2,
@@ -168,4 +181,5 @@ ORACLES = {
     "t4_tbc_output": SQL_T4,
     "m1_ordinal_encode": SQL_M1,
     "m2_split_train_test": SQL_M2,
+    "w4_row_index": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS \"index\", o_orderkey, o_custkey, o_orderstatus FROM orders",
 }
