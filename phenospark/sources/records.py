@@ -1,8 +1,9 @@
 """S2-S5: potential-cases tables out of health-record exports.
 
 All readers end in the same shape — ``patient-id, dob, codes,
-last-encounter`` as strings — built by one ``groupBy(patient)`` whose
-partial aggregate de-duplicates a patient's items map-side.
+last-encounter`` as strings — built by one ``groupBy(patient)`` that packs
+the distinct items (``collect_set``, de-duplicated map-side, sorted so the
+listed order is repeatable) and takes the latest date in the same pass.
 """
 
 from __future__ import annotations
@@ -21,13 +22,6 @@ def _item(code: Column, when: Column) -> Column:
     return F.concat(F.lit("("), code.cast("string"), F.lit(","), when, F.lit(")"))
 
 
-def _pack(items: DataFrame) -> DataFrame:
-    """``(patient, item)`` -> ``(patient, codes)`` with the distinct items in
-    sorted order (a set has no order; sorting makes it repeatable)."""
-    return (items.select("patient", "item").distinct().groupBy("patient")
-            .agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias("codes")))
-
-
 def _ref_id(ref: Column) -> Column:
     return F.substring_index(ref, "/", -1)
 
@@ -44,11 +38,11 @@ def cohort_from_fhir(condition: DataFrame, patient: DataFrame, encounter: DataFr
     e = encounter.select(F.col("id").cast("string").alias("encounter"),
                          F.col("period.end").cast("string").try_cast("timestamp").alias("end"))
     j = c.join(p, "patient").join(e, "encounter")
-    items = j.select("patient", _item(F.col("code"), F.concat(F.date_format("end", ISO_MILLIS), F.lit("Z"))).alias("item"))
-    per = j.groupBy("patient").agg(F.max("dob").alias("dob"), F.max("end").alias("last"))
-    return (per.join(_pack(items), "patient")
-            .select(F.col("patient").alias("patient-id"), F.coalesce("dob", F.lit(ZERO_DATE)).alias("dob"), "codes",
-                    F.date_format("last", ISO_MILLIS).alias("last-encounter")))
+    item = _item(F.col("code"), F.concat(F.date_format("end", ISO_MILLIS), F.lit("Z")))
+    per = j.groupBy("patient").agg(F.array_join(F.sort_array(F.collect_set(item)), ",").alias("codes"),
+                                   F.max("dob").alias("dob"), F.max("end").alias("last"))
+    return per.select(F.col("patient").alias("patient-id"), F.coalesce("dob", F.lit(ZERO_DATE)).alias("dob"), "codes",
+                      F.date_format("last", ISO_MILLIS).alias("last-encounter"))
 
 
 # S3 ------------------------------------------------------------------------------
@@ -63,13 +57,14 @@ def cohort_from_omop(person: DataFrame, records: DataFrame, observation: DataFra
     r = (records.where(F.col("domain") == "condition")
          .select(F.col("person_id").alias("patient"), "concept_id",
                  F.date_add(start, F.col("end_day").cast("int")).cast("timestamp").alias("when")))
-    items = r.select("patient", _item(F.col("concept_id"), F.concat(F.date_format("when", ISO_MILLIS), F.lit("Z"))).alias("item"))
-    last = r.groupBy("patient").agg(F.max("when").alias("last"))
+    item = _item(F.col("concept_id"), F.concat(F.date_format("when", ISO_MILLIS), F.lit("Z")))
+    per = r.groupBy("patient").agg(F.array_join(F.sort_array(F.collect_set(item)), ",").alias("codes"),
+                                   F.max("when").alias("last"))
     p = person.select(F.col("person_id").alias("patient"),
                       F.when(F.col("year_of_birth").isNotNull(),
                              F.concat(F.col("year_of_birth").cast("string"), F.lit("-01-01")))
                       .otherwise(F.lit(ZERO_DATE)).alias("dob"))
-    return (_pack(items).join(last, "patient").join(p, "patient", "left")
+    return (per.join(p, "patient", "left")
             .select(F.col("patient").cast("string").alias("patient-id"), F.coalesce("dob", F.lit(ZERO_DATE)).alias("dob"),
                     "codes", F.date_format("last", ISO_MILLIS).alias("last-encounter")))
 
@@ -85,11 +80,11 @@ def cohort_from_i2b2(patients: DataFrame, primary: DataFrame, secondary: DataFra
     end = F.col("end_date").cast("string").try_cast("timestamp")
     o = obs.select(F.col("patient_id").cast("string").alias("patient"),
                    F.element_at(F.split("concept_cd", ":"), 2).alias("code"), end.alias("end"))
-    items = o.select("patient", _item(F.col("code"), F.coalesce(F.date_format("end", ISO_MILLIS),
-                                                                F.lit(ZERO_DATETIME))).alias("item"))
-    last = o.groupBy("patient").agg(F.max("end").alias("last"))
+    item = _item(F.col("code"), F.coalesce(F.date_format("end", ISO_MILLIS), F.lit(ZERO_DATETIME)))
+    per = o.groupBy("patient").agg(F.array_join(F.sort_array(F.collect_set(item)), ",").alias("codes"),
+                                   F.max("end").alias("last"))
     p = patients.select(F.col("patient_id").cast("string").alias("patient"), F.col("birth_date").cast("string").alias("dob"))
-    return (_pack(items).join(last, "patient").join(p, "patient", "left")
+    return (per.join(p, "patient", "left")
             .select(F.col("patient").alias("patient-id"), "dob", "codes",
                     F.date_format("last", ISO_MILLIS).alias("last-encounter")))
 
