@@ -354,9 +354,32 @@ SELECT CAST(patient_id AS VARCHAR) AS "patient-id",
 FROM f"""
 
 
+def phenotype_steps():
+    """The flagship chain as planned steps for the long evaluator."""
+    from phenospark.plans.steplist import Step
+
+    return [Step("codelist", "brand-a-identified", "a", "A", required=2, item=0),
+            Step("exclude", "brand-x-exclusion", "x", "X", item=1),
+            Step("codelist", "brand-b-identified", "b", "B", item=2),
+            Step("age", "age-exclusion", lower=30, upper=80, item=3),
+            Step("last_encounter", "last-encounter-exclusion", years=5, item=4),
+            Step("codelist", "brand-c-identified", "c", "C", item=5)]
+
+
+def phenotype_codelists(spark):
+    rows = [(f, c, code) for f, c, codes in (("a", "A", BRANDS_A), ("x", "X", BRANDS_X), ("b", "B", BRANDS_B),
+                                             ("c", "C", BRANDS_C)) for code in codes]
+    return spark.createDataFrame(rows, "file string, category string, code string")
+
+
 def q_phenotype_case_counts(spark, sf):
-    """Flagship: the resolved chain summarised per flag value."""
-    out = C.resolve_cases(phenotype_chain(R.cohort(spark, sf)))
+    """Flagship: the resolved chain over all patients, computed in the long
+    form (one event join, one aggregate per patient, then projections) and
+    summarised per flag value."""
+    from phenospark.plans.steplist import evaluate_steplist_events
+
+    pats = R.patients(spark, sf).join(R.last_encounters(spark, sf), "patient_id", "left")
+    out = evaluate_steplist_events(R.coded_events(spark, sf), pats, phenotype_steps(), phenotype_codelists(spark), AS_OF)
     stacked = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("flag"), q(c).alias("value"))
                                              for c in FLAG_COLS])).alias("s"))
     return stacked.groupBy("s.flag", "s.value").agg(F.count(F.lit(1)).alias("patients"))

@@ -66,3 +66,18 @@ def test_steplist_rejects_unknown_kind(spark):
 def test_names():
     assert S.clean_name("Shortness of breath (finding), x") == "Shortness-of-breath-x"
     assert S.name_from_file("heart-failure-2_icd10.csv") == "Heart failure"
+
+
+def test_flagship_chain_wide_equals_long(spark):
+    from phenospark.operators import criteria as Cr
+    from phenospark.plans.steplist import evaluate_steplist_events
+    from phenospark.queries import criteria_queries as CQ
+
+    wide = Cr.resolve_cases(CQ.phenotype_chain(R.cohort(spark, SF_SMALL)))
+    pats = R.patients(spark, SF_SMALL).join(R.last_encounters(spark, SF_SMALL), "patient_id", "left")
+    long = evaluate_steplist_events(R.coded_events(spark, SF_SMALL), pats, CQ.phenotype_steps(),
+                                    CQ.phenotype_codelists(spark), R.AS_OF)
+    assert long.columns[3:] == CQ.FLAG_COLS
+    w = {r["patient-id"]: tuple(r[c] for c in CQ.FLAG_COLS) for r in wide.collect()}
+    lg = {str(r["patient_id"]): tuple(r[c] for c in CQ.FLAG_COLS) for r in long.collect()}
+    assert w == lg
