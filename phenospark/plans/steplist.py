@@ -58,12 +58,34 @@ def name_from_file(file: str) -> str:
     """Title of a codelist file: the part before '_', dashes to spaces, a
     trailing number dropped, first letter capital, no '.csv'."""
     parts = file.split("_")[0].split("-")
-    if len(parts) > 1 and re.fullmatch(r"[0-9]+(\.csv)?", parts[-1]):
+    if len(parts) > 1 and re.match(r"0*[1-9]", parts[-1]):
         parts.pop()
     parts[0] = parts[0][:1].upper() + parts[0][1:]
     return " ".join(parts).replace(".csv", "")
 
 
+def name_from_file_col(file) -> "Column":
+    """:func:`name_from_file` as a column expression."""
+    parts = F.split(F.substring_index(file, "_", 1), "-")
+    n = F.size(parts)
+    parts = F.when((n > 1) & F.element_at(parts, -1).rlike("^0*[1-9]"), F.slice(parts, 1, n - 1)).otherwise(parts)
+    joined = F.array_join(parts, " ")
+    cap = F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
+    return F.replace(cap, F.lit(".csv"), F.lit(""))
+
+
+def steplist_categories(codelists: DataFrame, phenotype: str) -> DataFrame:
+    """Raw long codelists ``(filename, row_no, attrs)`` -> ``(file, category,
+    code)`` for the compiler: each file is curated under its own title (the
+    phenotype name when the title is the phenotype)."""
+    from phenospark.operators import codelists as K
+
+    title = name_from_file_col(F.col("filename"))
+    name = F.when(F.lower(title) == F.lit(phenotype.lower()), F.lit(phenotype)).otherwise(title)
+    cl = K.clean_headers(codelists).withColumn("name", name)
+    return K.categories(cl).select(F.col("filename").alias("file"), "category", "code")
+
+
 # --- planned steps ---------------------------------------------------------------
 @dataclass
 class Step:

@@ -81,3 +81,22 @@ def test_flagship_chain_wide_equals_long(spark):
     w = {r["patient-id"]: tuple(r[c] for c in CQ.FLAG_COLS) for r in wide.collect()}
     lg = {str(r["patient_id"]): tuple(r[c] for c in CQ.FLAG_COLS) for r in long.collect()}
     assert w == lg
+
+
+def test_raw_codelists_to_steplist(spark):
+    rows = [("asthma_icd10.csv", 0, {"ICD-10 code": "J45", "description": "asthma attack"}),
+            ("asthma_icd10.csv", 1, {"ICD-10 code": "J46", "description": "asthma attack severe"}),
+            ("copd-2_icd10.csv", 0, {"ICD-10 code": "J44", "description": "chronic obstructive"})]
+    cl = spark.createDataFrame(rows, "filename string, row_no int, attrs map<string,string>")
+    cats = S.steplist_categories(cl, "Asthma")
+    got = sorted((r["file"], r["category"], r["code"]) for r in cats.collect())
+    assert {f for f, _, _ in got} == {"asthma_icd10.csv", "copd-2_icd10.csv"}
+    assert all(c.endswith(" - secondary") for _, c, _ in got)
+    steps = S.plan_steplist([(1, "codelist", "asthma_icd10.csv:1"), (2, "codelistExclude", "copd-2_icd10.csv")], cats)
+    df = spark.createDataFrame([("1", "(J45,2001-01-01)"), ("2", "(J45,2001-01-01),(J44,2000-01-01)")], ["patient-id", "codes"])
+    out = S.evaluate_steplist(df, steps, cats, "2002-01-01")
+    flag = [c for c in out.columns if c.endswith("-identified")][0]
+    excl = [c for c in out.columns if c.endswith("-exclusion")][0]
+    r = {x["patient-id"]: (x[flag], x[excl]) for x in out.collect()}
+    assert r["1"] == ("CASE", "FALSE") and r["2"] == ("CASE", "TRUE")  # exclusion is right of the flag
+    assert S.name_from_file("copd-2_icd10.csv") == "Copd"
