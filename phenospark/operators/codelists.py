@@ -120,14 +120,14 @@ def _terms(cl: DataFrame) -> DataFrame:
     return ex.select("filename", "name", "row_no", "pos", TX.singular(F.col("_c")).alias("term"))
 
 
-def term_counts(cl: DataFrame, name=None) -> DataFrame:
+def term_counts(cl: DataFrame, name=None, only_included: bool = True) -> DataFrame:
     """``(filename, term, n, first_row, first_pos, rank)``: terms longer than
     four letters, not part of the name, seen more than once; ``rank`` 1 is
     the most frequent (ties: first seen)."""
     cl = _with_name(cl, name) if name is not None else cl
     if "description" not in cl.columns:
         cl = with_description(cl)
-    t = _terms(included(cl)).where(F.length("term") >= TX.MIN_TERM_LENGTH)
+    t = _terms(included(cl) if only_included else cl).where(F.length("term") >= TX.MIN_TERM_LENGTH)
     t = t.withColumn("_nw", TX.name_words(F.col("name"))).withColumn("_st", TX.singular(F.col("term")))
     t = t.where(~TX.related_to_name(F.col("term"), F.col("_nw"), F.col("_st")))
     agg = (t.groupBy("filename", "term")
@@ -158,11 +158,11 @@ def non_differentiating_terms(tc: DataFrame, cutoff: float = TX.NOT_DIFFERENTIAT
 # K7 -----------------------------------------------------------------------------
 def file_category(cl: DataFrame, name=None) -> DataFrame:
     """``(filename, file_category)``: the top remaining term when it occurs
-    at least once per row of the file, else ''."""
+    at least once per row of the file, else ''.  (This rule looks at the
+    whole file, rows marked ``case_incl = N`` included.)"""
     cl = _with_name(cl, name) if name is not None else cl
-    inc = included(cl)
-    rows = inc.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
-    tc = non_differentiating_terms(term_counts(inc)).where(~F.col("excluded"))
+    rows = cl.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
+    tc = non_differentiating_terms(term_counts(cl, only_included=False)).where(~F.col("excluded"))
     top = tc.groupBy("filename").agg(F.min_by(F.struct("term", "n"), "rank").alias("top"))
     j = rows.join(top, "filename", "left")
     return j.select("filename", F.when(F.col("top.n") >= F.col("rows"), F.col("top.term"))

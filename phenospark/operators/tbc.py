@@ -41,10 +41,12 @@ def tbc_partitions(df: DataFrame, features: Sequence[str], K: int, seed: int, ke
         raise ValueError("seed must be an integer >= 0")
     vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.select(key, *features))
     vec = vec.select(key, "features").persist()
-    out = vec
-    for i, k in enumerate(range(2, K + 1)):
-        model = KMeans(k=k, seed=int(seed) + SEED_STEP * i, maxIter=max_iter, featuresCol="features",
-                       predictionCol=cluster_col(k)).fit(vec)
+    models = [KMeans(k=k, seed=int(seed) + SEED_STEP * i, maxIter=max_iter, featuresCol="features",
+                     predictionCol=cluster_col(k)).fit(vec) for i, k in enumerate(range(2, K + 1))]
+    vec.unpersist()  # the fits are done; the assignment below is one lazy projection chain
+    out = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.select(key, *features))
+    out = out.select(key, "features")
+    for model in models:
         out = model.transform(out)
     return out.drop("features")
 

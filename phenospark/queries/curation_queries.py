@@ -115,8 +115,8 @@ nd AS (SELECT a.*, EXISTS (SELECT 1 FROM fr b WHERE b.filename = a.filename AND
 
 SQL_K6 = "WITH " + ND + "\nSELECT filename, term, n, frequent, excluded FROM nd"
 
-SQL_K7 = "WITH " + ND + f""",
-rows AS (SELECT {FNAME} AS filename, count(*) AS nrows FROM part WHERE {INCL} GROUP BY 1),
+SQL_K7 = "WITH " + ND.replace(f" WHERE {INCL}", "") + f""",
+rows AS (SELECT {FNAME} AS filename, count(*) AS nrows FROM part GROUP BY 1),
 top AS (SELECT filename, arg_min(term, rank) AS term, arg_min(n, rank) AS n FROM nd WHERE NOT excluded GROUP BY filename)
 SELECT rows.filename, CASE WHEN top.n >= rows.nrows THEN top.term ELSE '' END AS file_category
 FROM rows LEFT JOIN top USING (filename)"""
