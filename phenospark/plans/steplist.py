@@ -117,7 +117,10 @@ def plan_steplist(steplist, categories: DataFrame, nested: dict | None = None) -
     code)``; only the category *names* per file are read here."""
     nested = nested or {}
     names = {}
-    for r in categories.select("file", "category").distinct().collect():
+    cat_names = categories.select("file", "category").distinct()
+    if not has_at_most(cat_names, MAX_STEPLIST_ROWS * 100):
+        raise ValueError("too many categories for one definition")
+    for r in cat_names.collect():
         names.setdefault(r["file"], []).append(r["category"])
     for f in names:
         names[f].sort()

@@ -13,6 +13,8 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenospark.session import maybe_broadcast
+
 LONG_SCHEMA = "filename string, row_no int, attrs map<string,string>"
 
 
@@ -53,7 +55,8 @@ def codelists_from_concept_export(rows: DataFrame, concepts: DataFrame) -> DataF
     for working sets named ``... PHE<n> - <name>``; the category reads
     ``"<name> using <system> codes - <concept tail>"``."""
     systems = F.create_map(*[x for k, v in SYSTEM_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    r = rows.where(F.col("working_set_name").contains("PHE")).join(F.broadcast(concepts), "concept_id", "left")
+    # the concept dictionary can be large: broadcast only under the checked bound
+    r = rows.where(F.col("working_set_name").contains("PHE")).join(maybe_broadcast(concepts), "concept_id", "left")
     name = F.regexp_extract("working_set_name", r".*PHE[0-9]*\s-\s(.*)", 1)
     tail = F.lower(F.regexp_extract("concept_name", r".*-.*-\s(.*)", 1))
     tail = F.regexp_replace(tail, r"^(.*?) care", "$1")
