@@ -166,3 +166,29 @@ ORACLES = {
     "s4_cohort_from_i2b2": SQL_S4,
     "s8_concept_export": SQL_S8,
 }
+
+
+def q_st_phenotype_stream(spark, sf):
+    """The resolved phenotype chain over the cohort arriving as CSV files,
+    run by Structured Streaming (available-now trigger, checkpointed sink)."""
+    from phenospark.operators import criteria as C
+    from phenospark.queries.criteria_queries import FLAG_COLS, phenotype_chain
+    from phenospark.streaming import run_phenotype_stream
+
+    src = _scratch(spark, "stream-in")
+    ST.write_cases(R.cohort(spark, sf), src)
+    cols = ["patient-id", "dob", "codes", "last-encounter"]
+    out = run_phenotype_stream(spark, src, cols, lambda df: C.resolve_cases(phenotype_chain(df)),
+                               _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt"))
+    return out.select("patient-id", *FLAG_COLS)
+
+
+QUERIES["st_phenotype_stream"] = q_st_phenotype_stream
+
+
+def _c13_sql():
+    from phenospark.queries.criteria_queries import SQL_C13
+    return SQL_C13
+
+
+ORACLES["st_phenotype_stream"] = _c13_sql()
