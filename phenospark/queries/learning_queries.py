@@ -3,7 +3,6 @@ classifiers on the given tables."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from phenospark.operators import learn as M
