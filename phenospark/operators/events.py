@@ -73,9 +73,19 @@ def codelist_exclude_events(events: DataFrame, patients: DataFrame, category: st
 # C4L ------------------------------------------------------------------------
 def codelists_temporal_events(events: DataFrame, patients: DataFrame, category: str,
                               before: Iterable[str] | DataFrame, after: Iterable[str] | DataFrame,
-                              min_days: int, max_days: int) -> DataFrame:
-    """Latest *before* date against earliest *after* date per patient, in one
-    aggregate pass: ``CASE`` iff ``min_days < floor(days) < max_days``."""
+                              min_days: int, max_days: int, order: str = "date") -> DataFrame:
+    """One aggregate pass per patient: ``CASE`` iff ``min_days < floor(days)
+    < max_days`` between a *before* and an *after* event.
+
+    ``order='date'``: latest before date against earliest after date.
+    ``order='listed'``: the same choice the packed (sorted) wide cell makes —
+    the greatest ``(code,timestamp)`` item among before hits against the
+    smallest among after hits — so it equals :func:`criteria.codelists_temporal`
+    on a cohort built by :func:`records.pack_events`, without building cells."""
+    from phenospark.plans.records import cell_item
+
+    if order not in ("date", "listed"):
+        raise ValueError("order must be 'date' or 'listed'")
     spark = events.sparkSession
     b = codes_frame(spark, before).select("code").distinct().withColumn("is_before", F.lit(True))
     a = codes_frame(spark, after).select("code").distinct().withColumn("is_after", F.lit(True))
@@ -83,9 +93,15 @@ def codelists_temporal_events(events: DataFrame, patients: DataFrame, category:
         "code", F.coalesce("is_before", F.lit(False)).alias("is_before"),
         F.coalesce("is_after", F.lit(False)).alias("is_after"))
     tagged = events.where(F.col("ts").isNotNull()).join(maybe_broadcast(tags), "code")
-    per = tagged.groupBy("patient_id").agg(
-        F.max(F.when(F.col("is_before"), F.col("ts"))).alias("before_ts"),
-        F.min(F.when(F.col("is_after"), F.col("ts"))).alias("after_ts"))
+    if order == "date":
+        per = tagged.groupBy("patient_id").agg(
+            F.max(F.when(F.col("is_before"), F.col("ts"))).alias("before_ts"),
+            F.min(F.when(F.col("is_after"), F.col("ts"))).alias("after_ts"))
+    else:
+        item = cell_item(F.col("code"), F.col("ts"))
+        per = tagged.groupBy("patient_id").agg(
+            F.max_by(F.when(F.col("is_before"), F.col("ts")), F.when(F.col("is_before"), item)).alias("before_ts"),
+            F.min_by(F.when(F.col("is_after"), F.col("ts")), F.when(F.col("is_after"), item)).alias("after_ts"))
     days = floor_days(F.col("after_ts"), F.col("before_ts"))
     cond = (F.lit(int(min_days)) < days) & (days < F.lit(int(max_days)))
     return (patients.select("patient_id").join(per, "patient_id", "left")

@@ -435,3 +435,13 @@ ORACLES = {
     "c13_resolve_cases": SQL_C13,
     "c14_nested_cases": SQL_C14,
 }
+
+
+def q_c4ll_temporal_listed_events(spark, sf):
+    """C4 in listed order, computed on the events (no packed cells)."""
+    return E.codelists_temporal_events(R.coded_events(spark, sf), R.patients(spark, sf), "follow-up",
+                                       TEMPORAL_BEFORE, TEMPORAL_AFTER, TEMPORAL_MIN, TEMPORAL_MAX, order="listed")
+
+
+QUERIES["c4ll_temporal_listed_events"] = q_c4ll_temporal_listed_events
+ORACLES["c4ll_temporal_listed_events"] = SQL_C4.replace('SELECT CAST(patient_id AS VARCHAR) AS "patient-id",', "SELECT patient_id,")

@@ -100,3 +100,11 @@ def test_raw_codelists_to_steplist(spark):
     r = {x["patient-id"]: (x[flag], x[excl]) for x in out.collect()}
     assert r["1"] == ("CASE", "FALSE") and r["2"] == ("CASE", "TRUE")  # exclusion is right of the flag
     assert S.name_from_file("copd-2_icd10.csv") == "Copd"
+
+
+def test_temporal_listed_order_wide_equals_long(spark):
+    args = (["Brand#11", "Brand#21"], ["Brand#12", "Brand#22"], 31, 400)
+    wide = C.codelists_temporal(R.cohort(spark, SF_SMALL), "t", *args, order="listed")
+    long = E.codelists_temporal_events(R.coded_events(spark, SF_SMALL), R.patients(spark, SF_SMALL), "t", *args,
+                                       order="listed")
+    assert _by_id(wide, "patient-id", "t-identified") == _by_id(long, "patient_id", "t-identified")
