@@ -247,10 +247,12 @@ def _step_codes(steps: list[Step], categories: DataFrame) -> DataFrame:
 
 
 def evaluate_steplist_events(events: DataFrame, patients: DataFrame, steps: list[Step], categories: DataFrame,
-                             as_of) -> DataFrame:
+                             as_of, temporal_order: str = "date") -> DataFrame:
     """Long form: ``events (patient_id, code, ts)``, ``patients (patient_id,
     dob, last_ts)`` -> ``(patient_id, <step flags>...)`` resolved.  Temporal
-    steps compare the latest before date with the earliest after date."""
+    steps compare the latest before date with the earliest after date, or,
+    with ``temporal_order='listed'``, the items the packed wide cell lists
+    last / first (equal to :func:`evaluate_steplist` on that cell)."""
     flat = _flat(steps)
     coded = [s for s in flat if s.kind in ("codelist", "exclude", "temporal")]
     base = patients.select("patient_id", F.date_format("dob", "yyyy-MM-dd").alias("dob"),
@@ -263,14 +265,23 @@ def evaluate_steplist_events(events: DataFrame, patients: DataFrame, steps: list
         # conditional algebraic aggregates (map-side combined, one shuffle).
         dev = events.select("patient_id", "code", "ts").distinct()
         joined = dev.join(maybe_broadcast(sc), "code")
+        if temporal_order == "listed":
+            from phenospark.plans.records import cell_item
+            joined = joined.withColumn("_item", cell_item(F.col("code"), F.col("ts")))
+        elif temporal_order != "date":
+            raise ValueError("temporal_order must be 'date' or 'listed'")
         aggs = []
         for st in coded:
             mine = F.col("step") == F.lit(st.column)
             if st.kind in ("codelist", "exclude"):
                 aggs.append(F.count(F.when(mine & (F.col("role") == "count"), F.lit(1))).alias(f"{st.column}_n"))
-            else:
+            elif temporal_order == "date":
                 aggs.append(F.max(F.when(mine & (F.col("role") == "before"), F.col("ts"))).alias(f"{st.column}_b"))
                 aggs.append(F.min(F.when(mine & (F.col("role") == "after"), F.col("ts"))).alias(f"{st.column}_a"))
+            else:  # "listed": the choice the sorted packed cell makes
+                isb, isa = mine & (F.col("role") == "before"), mine & (F.col("role") == "after")
+                aggs.append(F.max_by(F.when(isb, F.col("ts")), F.when(isb, F.col("_item"))).alias(f"{st.column}_b"))
+                aggs.append(F.min_by(F.when(isa, F.col("ts")), F.when(isa, F.col("_item"))).alias(f"{st.column}_a"))
         wide = joined.groupBy("patient_id").agg(*aggs)
         base = base.join(wide, "patient_id", "left")
     exprs = {}

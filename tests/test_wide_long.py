@@ -108,3 +108,14 @@ def test_temporal_listed_order_wide_equals_long(spark):
     long = E.codelists_temporal_events(R.coded_events(spark, SF_SMALL), R.patients(spark, SF_SMALL), "t", *args,
                                        order="listed")
     assert _by_id(wide, "patient-id", "t-identified") == _by_id(long, "patient_id", "t-identified")
+
+
+def test_steplist_listed_long_equals_wide(spark):
+    steps, cats = SQ._steps(spark, SF_ORACLE)
+    wide = S.evaluate_steplist(R.cohort(spark, SF_ORACLE), steps, cats, R.AS_OF)
+    pats = R.patients(spark, SF_ORACLE).join(R.last_encounters(spark, SF_ORACLE), "patient_id", "left")
+    long = S.evaluate_steplist_events(R.coded_events(spark, SF_ORACLE), pats, steps, cats, R.AS_OF, temporal_order="listed")
+    flags = SQ.OUT_FLAGS
+    w = {r["patient-id"]: tuple(r[f] for f in flags) for r in wide.collect()}
+    lg = {str(r["patient_id"]): tuple(r[f] for f in flags) for r in long.collect()}
+    assert w == lg
