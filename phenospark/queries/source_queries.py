@@ -148,7 +148,7 @@ WITH r AS (SELECT p_type, p_name, p_partkey,
            FROM part WHERE p_type <> 'PROMO')
 SELECT upper(p_type[1]) || lower(p_type[2:]) AS name,
        upper(p_type[1]) || lower(p_type[2:]) || ' using ' || sys || ' codes - ' || lower(p_name) AS category,
-       list_sort(list(DISTINCT CAST(p_partkey AS VARCHAR))) AS codes
+       CAST(p_partkey AS VARCHAR) AS code
 FROM r GROUP BY ALL"""
 
 

@@ -51,7 +51,7 @@ SYSTEM_NAMES = {5: "read", 4: "icd10", 7: "opcs4"}
 
 def codelists_from_concept_export(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     """Working-set export ``(working_set_name, concept_id, concept_name, code)``
-    with ``concepts(concept_id, coding_system)`` -> ``(name, category, codes)``
+    with ``concepts(concept_id, coding_system)`` -> ``(name, category, code)``
     for working sets named ``... PHE<n> - <name>``; the category reads
     ``"<name> using <system> codes - <concept tail>"``."""
     systems = F.create_map(*[x for k, v in SYSTEM_NAMES.items() for x in (F.lit(k), F.lit(v))])
@@ -61,5 +61,5 @@ def codelists_from_concept_export(rows: DataFrame, concepts: DataFrame) -> DataF
     tail = F.lower(F.regexp_extract("concept_name", r".*-.*-\s(.*)", 1))
     tail = F.regexp_replace(tail, r"^(.*?) care", "$1")
     cat = F.concat(name, F.lit(" using "), systems[F.col("coding_system").cast("int")], F.lit(" codes - "), tail)
-    return (r.select(name.alias("name"), cat.alias("category"), F.col("code").cast("string").alias("code"))
-            .groupBy("name", "category").agg(F.sort_array(F.collect_set("code")).alias("codes")))
+    # long (name, category, code): a large category is never gathered into one row
+    return r.select(name.alias("name"), cat.alias("category"), F.col("code").cast("string").alias("code")).distinct()
