@@ -77,13 +77,19 @@ def name_from_file_col(file) -> "Column":
 def steplist_categories(codelists: DataFrame, phenotype: str) -> DataFrame:
     """Raw long codelists ``(filename, row_no, attrs)`` -> ``(file, category,
     code)`` for the compiler: each file is curated under its own title (the
-    phenotype name when the title is the phenotype)."""
+    phenotype name when the title is the phenotype); every raw code is also
+    listed with a NULL category, which only temporal "before" lists use."""
     from phenospark.operators import codelists as K
 
     title = name_from_file_col(F.col("filename"))
     name = F.when(F.lower(title) == F.lit(phenotype.lower()), F.lit(phenotype)).otherwise(title)
     cl = K.clean_headers(codelists).withColumn("name", name)
-    return K.categories(cl).select(F.col("filename").alias("file"), "category", "code")
+    cats = K.categories(cl).select(F.col("filename").alias("file"), "category", "code")
+    # every row's code, with no category: the "before" list of a temporal
+    # step is the whole file (rows marked case_incl = N included)
+    raw = cl.select(F.col("filename").alias("file"), F.lit(None).cast("string").alias("category"),
+                    K.code_expr(F.col("attrs")).alias("code")).where(F.col("code").isNotNull())
+    return cats.unionByName(raw)
 
 
 # --- planned steps ---------------------------------------------------------------
@@ -117,7 +123,7 @@ def plan_steplist(steplist, categories: DataFrame, nested: dict | None = None) -
     code)``; only the category *names* per file are read here."""
     nested = nested or {}
     names = {}
-    cat_names = categories.select("file", "category").distinct()
+    cat_names = categories.where(F.col("category").isNotNull()).select("file", "category").distinct()
     if not has_at_most(cat_names, MAX_STEPLIST_ROWS * 100):
         raise ValueError("too many categories for one definition")
     for r in cat_names.collect():

@@ -89,7 +89,7 @@ def test_raw_codelists_to_steplist(spark):
             ("copd-2_icd10.csv", 0, {"ICD-10 code": "J44", "description": "chronic obstructive"})]
     cl = spark.createDataFrame(rows, "filename string, row_no int, attrs map<string,string>")
     cats = S.steplist_categories(cl, "Asthma")
-    got = sorted((r["file"], r["category"], r["code"]) for r in cats.collect())
+    got = sorted((r["file"], r["category"], r["code"]) for r in cats.where("category IS NOT NULL").collect())
     assert {f for f, _, _ in got} == {"asthma_icd10.csv", "copd-2_icd10.csv"}
     assert all(c.endswith(" - secondary") for _, c, _ in got)
     steps = S.plan_steplist([(1, "codelist", "asthma_icd10.csv:1"), (2, "codelistExclude", "copd-2_icd10.csv")], cats)
@@ -119,3 +119,26 @@ def test_steplist_listed_long_equals_wide(spark):
     w = {r["patient-id"]: tuple(r[f] for f in flags) for r in wide.collect()}
     lg = {str(r["patient_id"]): tuple(r[f] for f in flags) for r in long.collect()}
     assert w == lg
+
+
+def test_temporal_before_codes_use_whole_file(spark):
+    rows = [("flu_icd10.csv", 0, {"ICD-10 code": "J10", "description": "influenza virus", "Case_Incl": "Y"}),
+            ("flu_icd10.csv", 1, {"ICD-10 code": "J11", "description": "influenza virus", "Case_Incl": "N"}),
+            ("pneumonia_icd10.csv", 0, {"ICD-10 code": "J18", "description": "pneumonia lobar"})]
+    cl = spark.createDataFrame(rows, "filename string, row_no int, attrs map<string,string>")
+    cats = S.steplist_categories(cl, "Flu")
+    named = {r["code"] for r in cats.where("file = 'flu_icd10.csv' AND category IS NOT NULL").collect()}
+    assert named == {"J10"}                                    # excluded row has no category
+    steps = S.plan_steplist([(1, "codelistsTemporal", "flu_icd10.csv:pneumonia_icd10.csv:1:30")], cats)
+    assert len(steps) == 1
+    df = spark.createDataFrame([("1", "(J11,2001-01-01),(J18,2001-01-10)"), ("2", "(J18,2001-01-10)")],
+                               ["patient-id", "codes"])
+    out = S.evaluate_steplist(df, steps, cats, "2002-01-01")
+    flag = steps[0].column
+    got = {r["patient-id"]: r[flag] for r in out.collect()}
+    assert got == {"1": "CASE", "2": "UNK"}                     # J11 counts as a before code
+    pats = spark.createDataFrame([(1, None, None), (2, None, None)], "patient_id long, dob date, last_ts timestamp")
+    ev = spark.createDataFrame([(1, "J11", "2001-01-01"), (1, "J18", "2001-01-10"), (2, "J18", "2001-01-10")],
+                               "patient_id long, code string, ts string").selectExpr("patient_id", "code", "CAST(ts AS TIMESTAMP) AS ts")
+    long = S.evaluate_steplist_events(ev, pats, steps, cats, "2002-01-01")
+    assert {r["patient_id"]: r[flag] for r in long.collect()} == {1: "CASE", 2: "UNK"}
