@@ -103,7 +103,7 @@ c AS (SELECT filename, row_no, pos, regexp_replace(lower(raw), '[^a-z0-9]', '',
 s AS (SELECT filename, row_no, pos, {_sing("t0")} AS term FROM c),
 f AS (SELECT * FROM s WHERE length(term) >= 5 AND NOT (contains('part', term) OR contains(term, 'part'))),
 tc AS (SELECT filename, term, count(*) AS n, min(row_no * 10 + pos) AS firstpos FROM f GROUP BY filename, term HAVING count(*) > 1),
-rk AS (SELECT filename, term, n, row_number() OVER (PARTITION BY filename ORDER BY n DESC, firstpos) AS rank FROM tc)"""
+rk AS (SELECT filename, term, n, CAST(row_number() OVER (PARTITION BY filename ORDER BY n DESC, firstpos) AS INTEGER) AS rank FROM tc)"""
 
 SQL_K5 = "WITH " + TERMS + "\nSELECT filename, term, n, rank FROM rk"
 

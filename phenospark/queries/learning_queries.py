@@ -139,8 +139,8 @@ J = "CAST(inter AS DOUBLE) / (size_k + size_prev - inter)"
 J2 = "CASE WHEN size_prev > 0 THEN CAST(inter AS DOUBLE) / size_prev END"
 D = "CASE WHEN size_k + size_prev > 0 THEN 2.0 * inter / (size_k + size_prev) END"
 
-SQL_T2 = _best(J) + "SELECT cluster, k, best_cluster, match FROM best"
-SQL_T2D = _best(D) + "SELECT cluster, k, best_cluster, match FROM best"
+SQL_T2 = _best(J) + "SELECT cluster, CAST(k AS INTEGER) AS k, CAST(best_cluster AS INTEGER) AS best_cluster, match FROM best"
+SQL_T2D = _best(D) + "SELECT cluster, CAST(k AS INTEGER) AS k, CAST(best_cluster AS INTEGER) AS best_cluster, match FROM best"
 SQL_T3 = _best(J2) + f"SELECT cluster, avg(match) AS mean_match FROM best GROUP BY cluster HAVING avg(match) >= {THRESHOLD}"
 SQL_T4 = _best(J) + f""",
 cand AS (SELECT cluster, avg(match) AS mean_match FROM best GROUP BY cluster HAVING avg(match) >= {THRESHOLD})
