@@ -89,3 +89,14 @@ def test_registry(spark):
     S.register_source("bad", lambda s: s.createDataFrame([("1",)], ["patient-id"]))
     with pytest.raises(ValueError):
         S.read_source("bad", spark)
+
+
+def test_omop_reader(spark):
+    person = spark.createDataFrame([(1, 1970), (2, None)], "person_id long, year_of_birth int")
+    recs = spark.createDataFrame([(1, "condition", 100, 0), (1, "condition", 200, 31), (1, "drug", 300, 400),
+                                  (2, "condition", 100, 5)], "person_id long, domain string, concept_id long, end_day int")
+    obs = spark.createDataFrame([(201003,), (201001,)], "month_year int")
+    out = {r["patient-id"]: r for r in S.cohort_from_omop(person, recs, obs).collect()}
+    assert out["1"]["codes"] == "(100,2010-01-01T00:00:00.000Z),(200,2010-02-01T00:00:00.000Z)"  # drug ignored
+    assert out["1"]["last-encounter"] == "2010-02-01T00:00:00.000"
+    assert out["1"]["dob"] == "1970-01-01" and out["2"]["dob"] == "0000-00-00"
