@@ -100,3 +100,12 @@ def test_omop_reader(spark):
     assert out["1"]["codes"] == "(100,2010-01-01T00:00:00.000Z),(200,2010-02-01T00:00:00.000Z)"  # drug ignored
     assert out["1"]["last-encounter"] == "2010-02-01T00:00:00.000"
     assert out["1"]["dob"] == "1970-01-01" and out["2"]["dob"] == "0000-00-00"
+
+
+def test_xml_several_records(spark, tmp_path):
+    rec = ("<Response><Identity><NHSNumber>{id}</NHSNumber></Identity><Demographics><DateOfBirth>{dob}</DateOfBirth>"
+           "</Demographics><Clinical><Event><ClinicalCode><Code Code=\"{code}\"/></ClinicalCode></Event></Clinical></Response>")
+    (tmp_path / "many.xml").write_text("<Responses>" + rec.format(id="0001", dob="2015-03-01", code="F527.")
+                                       + rec.format(id="0002", dob="2016-04-02", code="XE2QD") + "</Responses>")
+    got = sorted(tuple(r) for r in S.cohort_from_xml(spark, str(tmp_path / "many.xml")).collect())
+    assert got == [("0001", "2015-03-01", "F527."), ("0002", "2016-04-02", "XE2QD")]
