@@ -25,8 +25,12 @@ OUT_FLAGS = ["economy-brands-identified", "large-brands-31-to-186-days-after-sma
 
 def type_codelist_files(spark, sf):
     """``(file, category, code)``: one codelist file per part type listing
-    the brands of its size-1 parts; its one category is "<Type> brands"."""
-    p = R.table(spark, sf, "part").select("p_type", "p_brand", "p_size").where(F.col("p_size") == 1)
+    the brands of its smallest parts; its one category is "<Type> brands".
+    (The smallest size is found by an aggregate per type and a join, so
+    every type has codes at every scale.)"""
+    part = R.table(spark, sf, "part").select("p_type", "p_brand", "p_size")
+    smallest = part.groupBy("p_type").agg(F.min("p_size").alias("p_size"))
+    p = part.join(smallest, ["p_type", "p_size"])
     return p.select(F.concat(F.lower("p_type"), F.lit(".csv")).alias("file"),
                     F.concat(F.initcap("p_type"), F.lit(" brands")).alias("category"),
                     F.col("p_brand").alias("code")).distinct()
@@ -63,7 +67,8 @@ def _sql(order):
         b, a = "max(ts)", "min(ts)"
     pid = 'CAST(patient_id AS VARCHAR) AS "patient-id"' if order == "listed" else "patient_id"
     return with_(EV, DEV, PAT, LE,
-                 "cl AS (SELECT DISTINCT lower(p_type) || '.csv' AS file, p_brand AS code FROM part WHERE p_size = 1)",
+                 "cl AS (SELECT DISTINCT lower(p_type) || '.csv' AS file, p_brand AS code FROM part "
+                 "WHERE p_size = (SELECT min(p2.p_size) FROM part p2 WHERE p2.p_type = part.p_type))",
                  _hits("he", "economy.csv"), _hits("hp", "promo.csv"), _hits("hm", "medium.csv"),
                  _hits("hs", "standard.csv")) + f""",
 b AS (SELECT patient_id, {b} AS bts FROM dev WHERE code IN (SELECT code FROM cl WHERE file = 'small.csv') GROUP BY 1),
