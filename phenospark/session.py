@@ -50,15 +50,15 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_phenospark_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as scratch:  # the driver's own; Spark's file service keeps a copy
-        path = os.path.join(scratch, "phenospark_package.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(here):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
-        sc.addPyFile(path)
+    # the driver's own scratch, kept as long as the driver: its file service reads the archive from there
+    path = os.path.join(tempfile.mkdtemp(prefix="phenospark-package-"), "phenospark_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+    sc.addPyFile(path)
     sc._phenospark_shipped = True
 
 
