@@ -1,19 +1,18 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of its documents' token ids (ascending ``doc_id``).  A
-window is a run of ``window_sequences`` sequences.  In each window the queues
-are served in a fixed order; queue k with weight w_k adds its quantum
+window is a run of ``window_sequences`` sequences, W tokens.  In each window the
+queues are served in a fixed order; queue k with weight w_k adds its quantum
 W * w_k / sum(w) to its deficit and sends as many whole tokens as the deficit
-has, so that the cut-off parts of a token are carried to the next window and no
-window is ever further from the target than one token a source.  Documents are
+has; the cut-off part of a token is carried to the next window.  So at every
+window's end each queue is less than one token behind its target.  Documents are
 cut where a quantum or a sequence ends; sequences are therefore full.
 
-Served up to the end of window n, queue k has sent
-    floor(n*W*A_k / A) - floor(n*W*A_(k-1) / A)        A_k = w_1 + ... + w_k
-tokens, which is the round-robin's state in closed form.  A token's place thus
-follows from its rank in its queue alone: partitions need no state of each
-other but the number of tokens before them, and the deficits carry across
-windows and partitions exactly, in whole numbers of any size.
+At the end of window n, queue k has sent floor(n * W * w_k / sum(w)) tokens: the
+round-robin's state in closed form.  A token's place thus follows from its rank
+in its queue: partitions need no state of each other but the number of tokens
+before them, and the deficits carry across windows and partitions exactly, in
+whole numbers of any size.
 
 Weights default to the sources' token counts, so every window has the mixture of
 the corpus.  With other weights a queue may run dry; the others then share its
@@ -41,35 +40,40 @@ PIECES = ("doc_id long, source string, start long, length long, doc_tokens long,
 
 @dataclass(frozen=True)
 class Phase:
-    """Tokens [start, start + length) of the output, while the same queues have tokens."""
+    """A stretch of the output in which the same queues have tokens: ``length``
+    quanta of one token, shared by the weights."""
 
-    start: int
+    start: int  # in the output
     length: int
     sent: dict  # source -> tokens it sent before
-    below: dict  # source -> (A_(k-1), A_k)
-    total: int  # A
+    weights: dict  # of the queues with tokens, in serving order
+    total: int
 
-    def quota(self, source, tokens: int) -> int:
-        """What ``source`` has sent when the phase has sent ``tokens``."""
-        low, high = self.below[source]
-        return tokens * high // self.total - tokens * low // self.total
+    def quota(self, source, n: int) -> int:
+        """What ``source`` has sent after ``n`` quanta."""
+        return n * self.weights[source] // self.total
+
+    def window(self, a: int, b: int) -> dict:
+        """Place in the output of the first token that each source sends between ``a`` and ``b`` quanta."""
+        at, out = self.start + sum(self.quota(s, a) for s in self.weights), {}
+        for s in self.weights:
+            out[s] = at
+            at += self.quota(s, b) - self.quota(s, a)
+        return out
 
 
 def phases(counts: dict, weights: dict) -> list[Phase]:
     """Split the output where queues run dry.  ``counts``: source -> tokens;
     ``weights``: source -> whole number above 0."""
     out, start, sent = [], 0, dict.fromkeys(counts, 0)
-    while active := [s for s in counts if counts[s] > sent[s]]:
-        below, total = {}, 0
-        for s in active:
-            below[s] = (total, total + weights[s])
-            total += weights[s]
-        length = min((counts[s] - sent[s]) * total // weights[s] for s in active)
-        phase = Phase(start, length, dict(sent), below, total)
+    while active := {s: weights[s] for s in counts if counts[s] > sent[s]}:
+        total = sum(active.values())
+        length = min(-(-(counts[s] - sent[s]) * total // w) for s, w in active.items())
+        phase = Phase(start, length, dict(sent), active, total)
         out.append(phase)
         for s in active:
             sent[s] += phase.quota(s, length)
-        start += length
+            start += phase.quota(s, length)
     return out
 
 
@@ -81,6 +85,7 @@ class Layout:
         self.window = sequence * window_sequences
         self.sequence = sequence
         self.total = sum(counts.values())
+        self.at, self.served = None, {}
         self.starts = {s: [p.sent.get(s, 0) for p in self.phases] for s in counts}
         # the partial last sequence, as (first token, sequence id) of each power of two
         self.full = self.total // sequence
@@ -105,20 +110,15 @@ class Layout:
         while done < n:
             t = first + done
             k = bisect_right(self.starts[source], t) - 1
-            while source not in self.phases[k].below or \
-                    t - self.phases[k].sent[source] >= self.phases[k].quota(source, self.phases[k].length):
-                k += 1
             p = self.phases[k]
             t -= p.sent[source]
-            low, high = p.below[source]
-            w = max(0, t * p.total // ((high - low) * self.window) - 1)  # at most two windows too early
+            w = t * p.total // (p.weights[source] * self.window)  # token t is sent in this window or the next
             while p.quota(source, min((w + 1) * self.window, p.length)) <= t:
                 w += 1
             a, b = w * self.window, min((w + 1) * self.window, p.length)
-            sent = p.quota(source, a)
-            # queues before this one in the window: their quotas add up to a difference of floors
-            ahead = b * low // p.total - a * low // p.total
-            at = p.start + a + ahead + (t - sent)
+            if (k, w) != self.at:
+                self.at, self.served = (k, w), p.window(a, b)
+            at = self.served[source] + t - p.quota(source, a)
             length = min(n - done, p.quota(source, b) - t)
             while length:
                 sequence_id, offset, room = self.place(at)
