@@ -17,6 +17,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.warc import archived
+
+    return archived(_table(spark, sf_dir, "pages"), least_bytes=1000).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+     m AS (SELECT html, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM p LEFT JOIN m ON p.html = m.html
+"""
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.records import encoded_documents
 
@@ -36,8 +53,11 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_bundles": op2_warc_bundles,
     "op4_token_records": op4_token_records,
     "op10_mixture_packing": op10_mixture_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_bundles": OP2,
+}
