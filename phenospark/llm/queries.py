@@ -41,6 +41,70 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     windows AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS words
+                 FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+     sizes AS (SELECT DISTINCT len(words) AS n FROM windows),
+     places AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS words
+                FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+     found AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (words)),
+     hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+               FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.secrets import scanned_documents, spelled
+
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scanned_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(spelled("spans"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
+def _op8_kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: text between the matches and the matches, in a row."""
+    p = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {rank} AS rank, '{kind}' AS kind,
+       (list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda x: length(x))), 0))::BIGINT AS s,
+       length(hits[i]) AS len
+FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS hits,
+             regexp_extract_all(text, '{p}', {group}) AS sized,
+             unnest(range(1, len(regexp_extract_all(text, '{p}', 0)) + 1)) AS i
+      FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+WHERE length(sized[i]) >= {least}"""
+
+
+OP8 = f"""
+WITH found AS ({' UNION ALL '.join([
+    _op8_kind(0, "assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    _op8_kind(1, "access", "AKIA[A-Z0-9]+", 0, 18),
+    _op8_kind(2, "hex", "[0-9a-f]+", 0, 16)])}),
+     listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                       count(*) FILTER (kind = 'hex') AS n_hex,
+                       string_agg(kind || ':' || s || ':' || (s + len), ',' ORDER BY s, rank) AS spans
+                FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
@@ -55,9 +119,13 @@ def packed(docs: DataFrame) -> DataFrame:
 QUERIES = {
     "op2_warc_bundles": op2_warc_bundles,
     "op4_token_records": op4_token_records,
+    "op6_decontamination": op6_decontamination,
+    "op8_secret_ledger": op8_secret_ledger,
     "op10_mixture_packing": op10_mixture_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc_bundles": OP2,
+    "op6_decontamination": OP6,
+    "op8_secret_ledger": OP8,
 }
