@@ -34,6 +34,28 @@ FROM p LEFT JOIN m ON p.html = m.html
 """
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.linechunks import without_repeated_chunks
+
+    return without_repeated_chunks(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.length("text").cast("long").alias("n_kept_chars"), F.col("chunks_removed").cast("long").alias("chunks_removed"),
+        F.sha2("text", 256).alias("text_sha256"))
+
+
+OP3 = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+     h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS v FROM l),
+     b AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id)
+                     OR (i >= 2 AND (v + 31 * lag(v) OVER (PARTITION BY doc_id ORDER BY i)) % 3 = 0) AS ends FROM h),
+     n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
+     chunks AS (SELECT doc_id, c, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, c),
+     judged AS (SELECT *, k >= 2 AND row_number() OVER (PARTITION BY body ORDER BY k < 2, doc_id, c) > 1 AS gone FROM chunks),
+     kept AS (SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text,
+                     count(*) FILTER (gone) AS chunks_removed FROM judged GROUP BY doc_id)
+SELECT doc_id, length(text)::BIGINT AS n_kept_chars, chunks_removed::BIGINT AS chunks_removed, sha256(text) AS text_sha256 FROM kept
+"""
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.records import encoded_documents
 
@@ -118,6 +140,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_line_chunks": op3_line_chunks,
     "op4_token_records": op4_token_records,
     "op6_decontamination": op6_decontamination,
     "op8_secret_ledger": op8_secret_ledger,
@@ -126,6 +149,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_warc_bundles": OP2,
+    "op3_line_chunks": OP3,
     "op6_decontamination": OP6,
     "op8_secret_ledger": OP8,
 }
