@@ -8,8 +8,9 @@ A data file is a run of records, each framed as
     4 bytes  masked CRC-32 of the payload
 
 so that a reader finds damage before it trusts a length.  A payload is one
-sequence: 1 byte (0: the id is null), 8 bytes signed document id, then its token
-ids as little-endian unsigned 32-bit.  The index file beside it holds the offset
+sequence: 1 byte (bytes of a token id, 2 or 4; plus 128 if the document id is
+null), 8 bytes signed document id, then its token ids, little-endian unsigned.
+Sequences whose ids all fit take 2 bytes an id.  The index file beside it holds the offset
 of every record as little-endian unsigned 64-bit: a shuffled read draws entries
 of the index and reads single records.
 
@@ -37,7 +38,7 @@ from phenospark.llm.common import doc_columns, file_system, in_doc_order, shared
 MASK_DELTA = 0xA282EAD8
 
 MANIFEST = "part int, file string, index string, n_records long, n_tokens long, n_bytes long"
-SEQUENCE = "part int, ordinal long, doc_id long, before long, n_tokens long, ids binary"
+SEQUENCE = "part int, ordinal long, doc_id long, start long, n_tokens long, ids binary"
 
 
 def masked_crc(data: bytes) -> int:
@@ -65,12 +66,20 @@ def read_frame(stream) -> bytes | None:
 
 
 def to_payload(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids
+    """``ids``: little-endian unsigned 32-bit."""
+    import numpy as np
+
+    wide = np.frombuffer(ids, dtype="<u4")
+    width = 2 if not len(wide) or wide.max() < 1 << 16 else 4
+    return struct.pack("<Bq", width + 128 * (doc_id is None), doc_id or 0) + wide.astype(f"<u{width}").tobytes()
 
 
 def from_payload(payload: bytes) -> tuple[int | None, bytes]:
-    known, doc_id = struct.unpack_from("<Bq", payload)
-    return (doc_id if known else None), payload[9:]
+    import numpy as np
+
+    kind, doc_id = struct.unpack_from("<Bq", payload)
+    ids = np.frombuffer(payload, dtype=f"<u{kind & 127}", offset=9).astype("<u4")
+    return (None if kind & 128 else doc_id), ids.tobytes()
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int) -> DataFrame:
@@ -117,29 +126,31 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
 def read_records(manifest: DataFrame) -> DataFrame:
     """All sequences of the manifest's files: rank of the file, rank in it,
-    ``before`` (tokens before it in the file) and ids.  Every checksum is verified."""
+    ``start`` (tokens before it in all files) and ids.  Every checksum is verified."""
     def read(batches) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("part", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()),
+        schema = pa.schema([("part", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
                             ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for part, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, path = file_system(file)
-                before = held = n = 0
+                held = n = 0
                 rows: list[tuple] = []
                 with store.open_input_stream(path, buffer_size=1 << 20) as stream:
                     while (payload := read_frame(stream)) is not None:
                         doc_id, ids = from_payload(payload)
-                        rows.append((part, n, doc_id, before, len(ids) // 4, ids))
-                        before, n, held = before + len(ids) // 4, n + 1, held + len(ids)
+                        rows.append((part, n, doc_id, start, len(ids) // 4, ids))
+                        start, n, held = start + len(ids) // 4, n + 1, held + len(ids)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                             rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return _dealt(manifest.select("part", "file")).mapInArrow(read, SEQUENCE)
+    # one row a file: the running sum is over files, never over documents
+    files = manifest.select("part", "file", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("start"))
+    return _dealt(files).mapInArrow(read, SEQUENCE)
 
 
 def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
@@ -196,8 +207,4 @@ def encoded_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> Data
     """Write and read back; per document ``doc_id``, ``start`` (ids before it in
     ascending id order), ``n_tokens`` and ``ids``."""
     folder = shared_folder(docs.sparkSession, "records")
-    manifest = write_records(docs, tokenizer_path, folder, end_id)
-    # one row a file: the running sum is over files, never over documents
-    starts = manifest.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("file_start"))
-    return read_records(manifest).join(starts, "part").select(
-        "doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return read_records(write_records(docs, tokenizer_path, folder, end_id)).select("doc_id", "start", "n_tokens", "ids")
