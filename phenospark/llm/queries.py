@@ -127,6 +127,12 @@ FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
 """
 
 
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.fingerprints import with_neighbours
+
+    return with_neighbours(_table(spark, sf_dir, "documents")).drop("next_fingerprint")
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
@@ -144,6 +150,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op6_decontamination": op6_decontamination,
     "op8_secret_ledger": op8_secret_ledger,
+    "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_mixture_packing": op10_mixture_packing,
 }
 
