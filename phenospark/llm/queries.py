@@ -63,6 +63,26 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.jaccard import jaccard_links
+
+    return jaccard_links(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+OP5 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     s AS MATERIALIZED (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+     n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+     links AS MATERIALIZED (SELECT a, b, c, p.n AS na, q.n AS nb FROM common JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+     reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+     class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+     degree AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (c = na AND c = nb) AS copies FROM links GROUP BY a)
+SELECT class.doc_id, class_id, coalesce(n_links, 0) AS n_links, 1 + coalesce(copies, 0) AS n_copies
+FROM class LEFT JOIN degree ON class.doc_id = degree.doc_id
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.decontaminate import contamination
 
@@ -148,6 +168,7 @@ QUERIES = {
     "op2_warc_bundles": op2_warc_bundles,
     "op3_line_chunks": op3_line_chunks,
     "op4_token_records": op4_token_records,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_edit_fingerprints": op9_edit_fingerprints,
@@ -157,6 +178,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_warc_bundles": OP2,
     "op3_line_chunks": OP3,
+    "op5_jaccard_join": OP5,
     "op6_decontamination": OP6,
     "op8_secret_ledger": OP8,
 }
