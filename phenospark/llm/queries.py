@@ -109,6 +109,31 @@ FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = it
 """
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.substrings import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"), length=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+     s AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
+     f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING count(*) > 1),
+     b AS (SELECT doc_id, i AS a, i + 50 AS e FROM s JOIN f USING (g) WHERE doc_id > first),
+     r AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+     n AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM r),
+     spans AS (SELECT doc_id, k, min(a) AS a, max(e) AS e FROM n GROUP BY doc_id, k),
+     gaps AS (SELECT doc_id, coalesce(lag(e) OVER w, 0) AS a, spans.a AS e FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY spans.a)
+              UNION ALL SELECT spans.doc_id, max(spans.e), any_value(len(x) // 2) FROM spans JOIN d USING (doc_id) GROUP BY spans.doc_id),
+     kept AS (SELECT gaps.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (e - a)), '' ORDER BY a) AS y FROM gaps JOIN d USING (doc_id) GROUP BY gaps.doc_id),
+     sums AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN sums ON d.doc_id = sums.doc_id
+"""
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.secrets import scanned_documents, spelled
 
@@ -170,6 +195,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_repeated_strings": op7_repeated_strings,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_mixture_packing": op10_mixture_packing,
@@ -180,5 +206,6 @@ ORACLES: dict[str, str] = {
     "op3_line_chunks": OP3,
     "op5_jaccard_join": OP5,
     "op6_decontamination": OP6,
+    "op7_repeated_strings": OP7,
     "op8_secret_ledger": OP8,
 }
