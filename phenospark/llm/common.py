@@ -65,6 +65,11 @@ def doc_columns(docs: DataFrame, *more: str) -> DataFrame:
                        *[F.col(c) for c in more])
 
 
+def text_key():
+    """Tells rows with one ``doc_id`` apart: a hash of the text (after :func:`doc_columns`)."""
+    return F.xxhash64("text").alias("key")
+
+
 def in_doc_order(docs: DataFrame, *first: str) -> DataFrame:
     """Rows in ranges of (``first``, ``doc_id``), each partition sorted; the rank
     of the partition is the rank of its rows.  Null ids come last; rows with one

@@ -30,12 +30,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import WORD, shared_folder, words_of, written
+from phenospark.llm.common import WORD, doc_columns, shared_folder, text_key, words_of, written
 
 #: Bits of the Bloom filter (2 MB), whatever the size of the benchmark.
 FILTER_BITS = 1 << 24
 
-SCANNED = "doc_id long, n_words long, at array<struct<word:string,place:int,around:array<string>,first:int>>"
+SCANNED = "doc_id long, key long, n_words long, at array<struct<word:string,place:int,around:array<string>,first:int>>"
 WINDOW = "item_id string, words array<string>"
 
 
@@ -155,22 +155,22 @@ def scan_documents(docs: DataFrame, prefix_words: DataFrame, size: int) -> DataF
         kind = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("around", pa.list_(pa.string())), ("first", pa.int32())]))
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                ids, texts = (c.to_pylist() for c in batch.slice(a, 512).columns)
+                ids, texts, keys = (c.to_pylist() for c in batch.slice(a, 512).columns)
                 counts, at = [], []
                 for text in texts:
                     words = words_of(text) if text else []
                     counts.append(len(words))
                     at.append([{"word": words[i], "place": i, "around": words[max(0, i - size + 1):i + size], "first": max(0, i - size + 1)}
                                for i in members.of(words)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(at, kind)],
-                                                 names=["doc_id", "n_words", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()),
+                                                  pa.array(at, kind)], names=["doc_id", "key", "n_words", "at"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SCANNED)
+    return doc_columns(docs).select("doc_id", "text", text_key()).mapInArrow(scan, SCANNED)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """A row a document: ``row`` (an id of the row), ``doc_id, n_words, n_hit,
-    n_items, items`` (sorted as text)."""
+    """A row a document: ``row`` (an id of the row), ``doc_id, key`` (a hash
+    of the text), ``n_words, n_hit, n_items, items`` (sorted as text)."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "decontaminate")
     windows = written(item_windows(benchmark, size), folder, "windows")
@@ -193,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     hits = spans.withColumn("reach", F.coalesce(reach, F.lit(0))) \
         .groupBy("row").agg(F.sum(F.greatest(F.col("b") - F.greatest("a", "reach"), F.lit(0))).alias("n_hit"))
     items = found.select("row", "words").distinct().join(windows, "words").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return scanned.select("row", "doc_id", "n_words").join(hits.join(items, "row"), "row", "left").select(
-        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return scanned.select("row", "doc_id", "key", "n_words").join(hits.join(items, "row"), "row", "left").select(
+        "row", "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import by_key, doc_columns, shared_folder, words_of, written
+from phenospark.llm.common import by_key, doc_columns, shared_folder, text_key, words_of, written
 from phenospark.llm.components import components
 
 SEED = 7
@@ -164,11 +164,9 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
         cache: dict = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(a, 256).columns)
                 rows = []
-                for i, t in zip(ids, texts, strict=True):
+                for i, t, key in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
                     s = shingle_hashes(words_of(t), words, cache)
-                    key = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
                     if not len(s):
                         rows.append((i, key, None, 0, [], None))
                         continue
@@ -191,7 +189,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, toler
     ``key``, a hash of the text."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "jaccard")
-    texts = doc_columns(docs)
+    texts = doc_columns(docs).select("doc_id", "text", text_key())
     signed = written(sign(texts, words), folder, "signed")
     sets = signed.filter("n_shingles > 0")
     # the class's number is that of its first document; one row a distinct set
@@ -212,18 +210,16 @@ def jaccard_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, toler
                      .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
                      .select(F.col("id").alias("c"), "component", "blocks", "block"), folder, "placed")
     chosen = classes.join(placed, "c").select("c", "component", "blocks", "block", "size", "signature", "doc", "key")
-    with_text = chosen.join(texts.select(F.coalesce("doc_id", last).alias("doc"), "text"), "doc")
-    # rows of one id: the text whose hash is the class's is told apart in the unit by its digest
+    with_text = chosen.join(texts.select(F.coalesce("doc_id", last).alias("doc"), "key", "text"), ["doc", "key"])
     units = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-        "c", "block", "other", "size", "key", "signature", "text")
+        "c", "block", "other", "size", "signature", "text")
 
     steps = list(range(0, BANDS * ROWS + 1, BANDS))
     checks = [(a, b, least_matches(threshold, tolerance, b)) for a, b in zip(steps, steps[1:], strict=False)]
 
     def compare(batches) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         cache: dict = {}
         for _, held in by_key(batches, "unit"):
@@ -231,8 +227,8 @@ def jaccard_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, toler
             seen = set()
             pair = (0, 0)
             for b in held:
-                for c, own, other, size, key, signature, text in zip(*(x.to_pylist() for x in b.columns[1:]), strict=True):
-                    if c in seen or xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) != key:
+                for c, own, other, size, signature, text in zip(*(x.to_pylist() for x in b.columns[1:]), strict=True):
+                    if c in seen:  # repeated rows of one document
                         continue
                     seen.add(c)
                     pair = (min(own, other), max(own, other))

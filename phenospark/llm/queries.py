@@ -17,6 +17,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A score from which on a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def held_out():
+    """Rows whose labels nothing is learnt from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    from phenospark.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(docs, labels, usable=~held_out())
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.warc import archived
 
@@ -190,6 +210,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_line_chunks": op3_line_chunks,
     "op4_token_records": op4_token_records,
