@@ -43,7 +43,9 @@ from phenospark.llm.common import by_key, doc_columns, file_system, partition_co
 
 GRAM = 16
 #: Bytes of text worked on at once; shared anchors in a bucket.
-CHUNK, BUCKET = 2 << 20, 40_000
+CHUNK, BUCKET = 1 << 20, 40_000
+#: Documents in a file: what a task holds of one at a time.
+FILE_DOCUMENTS = 4096
 LAST = (1 << 63) - 1
 #: Not a byte of UTF-8: stands between documents and beyond their ends.
 OUTSIDE = 0xFF
@@ -226,7 +228,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     folder = shared_folder(spark, "substrings")
     reach = length - GRAM
     texts = doc_columns(docs).select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    texts.write.option("compression", "zstd").parquet(f"{folder}/documents")
+    texts.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_DOCUMENTS).parquet(f"{folder}/documents")
     files = written(spark.read.schema(texts.schema).parquet(f"{folder}/documents")
                     .groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("documents")), folder, "files")
     n_files = max(1, files.count())
@@ -290,7 +292,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 yield _table(cols, packed)
 
     found = files.select("file").repartition(n_files).mapInArrow(find, packed_sql)
-    candidates = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, packed_sql), folder, "candidates")
+    candidates = written(found.repartition(split, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, packed_sql), folder, "candidates")
     total = candidates.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fine = max(4, (max(total // BUCKET, 4 * split) - 1).bit_length())
 
@@ -353,8 +355,8 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                                    for a, b in zip(cuts, cuts[1:], strict=False)]}, packed)
 
     tagged = lambda df, kind: df.select("file", F.lit(kind).alias("kind"), "bucket", "n", "data")
-    asked = tagged(candidates, 1).repartition("file").sortWithinPartitions("file")
-    answers = written(asked.mapInArrow(send, packed_sql).repartition("bucket").sortWithinPartitions("bucket")
+    asked = tagged(candidates, 1).repartition(n_files, "file").sortWithinPartitions("file")
+    answers = written(asked.mapInArrow(send, packed_sql).repartition(split, "bucket").sortWithinPartitions("bucket")
                       .mapInArrow(construct, packed_sql), folder, "answers")
 
     def cut(batches) -> Iterator:
@@ -396,5 +398,5 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     every = files.select("file", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"),
                          F.lit(None).cast("binary").alias("data"))
     return every.unionByName(tagged(candidates, 1)).unionByName(tagged(answers, 2)) \
-        .repartition("file").sortWithinPartitions("file") \
+        .repartition(n_files, "file").sortWithinPartitions("file") \
         .mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
