@@ -28,10 +28,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenospark.llm.common import doc_columns, in_doc_order, shared_folder, written
+from phenospark.session import maybe_broadcast
 
 ENCODED = "part int, source string, ordinal long, doc_id long, before long, n_tokens long, ids binary"
 PIECES = ("doc_id long, source string, start long, length long, doc_tokens long, "
@@ -127,6 +129,16 @@ class Layout:
                 done, at, length = done + take, at + take, length - take
 
 
+def narrow(ids: bytes) -> bytes:
+    """32-bit ids in 16 bits if all of them fit."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else ids
+
+
+def widen(data: bytes, n: int) -> bytes:
+    return data if len(data) == 4 * n else np.frombuffer(data, dtype="<u2").astype("<u4").tobytes()
+
+
 def encode_in_queues(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> DataFrame:
     """Ids of every document (``end_id`` appended) in ranges of (source, doc_id),
     written to the shared folder; ``before``: tokens of the source before it in
@@ -153,7 +165,7 @@ def encode_in_queues(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                     "part": pa.array([part] * len(ids), pa.int32()), "source": pa.array(sources, pa.string()),
                     "ordinal": pa.array(range(n - len(ids), n), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()),
                     "before": pa.array(befores, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids": pa.array(ids, pa.binary())})
+                    "ids": pa.array([narrow(x) for x in ids], pa.binary())})
 
     queued = in_doc_order(doc_columns(docs, "source").select(F.col("source").cast("string").alias("source"), "doc_id", "text"), "source")
     return written(queued.mapInArrow(encode, ENCODED), folder, "ids")
@@ -184,12 +196,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int, weigh
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 rows = []
-                for source, doc_id, rank, n, data in zip(*(c.to_pylist() for c in batch.slice(a, 512).columns), strict=True):
+                for source, doc_id, rank, n, packed in zip(*(c.to_pylist() for c in batch.slice(a, 512).columns), strict=True):
+                    data = widen(packed, n)
                     rows += [(doc_id, source, start, length, n, sequence_id, offset, data[4 * start:4 * (start + length)])
                              for start, length, sequence_id, offset in layout.runs(source, rank, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    # a row a (source, range): as many as ranges plus sources
-    placed = ids.alias("i").join(by_range.alias("r"), F.col("i.source").eqNullSafe(F.col("r.source")) & (F.col("i.part") == F.col("r.part")))
+    # a row a (source, range), as many as ranges plus sources: broadcast while that is few, else a shuffled join
+    placed = ids.alias("i").join(maybe_broadcast(by_range).alias("r"), F.col("i.source").eqNullSafe(F.col("r.source")) & (F.col("i.part") == F.col("r.part")))
     return placed.select("i.source", "i.doc_id", (F.col("r.earlier") + F.col("i.before")).alias("rank"), "i.n_tokens", "i.ids") \
         .mapInArrow(cut, PIECES)
