@@ -177,6 +177,7 @@ class LabelModel:
         if not keys:
             return
         votes = np.array([[b >> v & 1 for v in range(VOTERS)] for b, _, _ in keys], dtype=float)
+        self.rates[1, votes.sum(axis=0) == 0] = self.rates[0, 0]  # a voter that never hits says nothing
         gold = np.array([0.0 if y is None else (4.0 if y else -4.0) for _, y, _ in keys])
         n = np.array([k[2] for k in keys], dtype=float)
         is_gold = gold != 0
