@@ -116,7 +116,8 @@ def multi_codelist_long(events: DataFrame, codelists: DataFrame, required: int =
     de-duplicated by ``(patient, code, ts)`` first (keyed by the triple, so a
     hot patient spreads over tasks); the counts are then plain counts."""
     cl = codelists.select("category", "code").distinct()
-    dev = events.select("patient_id", "code", "ts").distinct()
+    # only listed codes are shuffled
+    dev = events.select("patient_id", "code", "ts").join(maybe_broadcast(cl.select("code").distinct()), "code", "left_semi").distinct()
     joined = dev.join(maybe_broadcast(cl), "code")
     return (joined.groupBy("patient_id", "category").agg(F.count(F.lit(1)).alias("n_hits"))
             .where(F.col("n_hits") >= F.lit(int(required))))
@@ -131,7 +132,8 @@ def multi_codelist(events: DataFrame, patients: DataFrame, codelists: DataFrame,
     if not categories:
         raise ValueError("give the categories")
     cl = codelists.where(F.col("category").isin(categories)).select("category", "code").distinct()
-    dev = events.select("patient_id", "code", "ts").distinct()
+    # only listed codes are shuffled
+    dev = events.select("patient_id", "code", "ts").join(maybe_broadcast(cl.select("code").distinct()), "code", "left_semi").distinct()
     joined = dev.join(maybe_broadcast(cl), "code")
     wide = joined.groupBy("patient_id").agg(
         *[F.count(F.when(F.col("category") == F.lit(c), F.lit(1))).alias(f"_n{i}") for i, c in enumerate(categories)])

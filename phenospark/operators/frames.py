@@ -17,7 +17,7 @@ def row_index(df: DataFrame, key: str, name: str = "index", partitions: int | No
     (one row per partition, summed in order) — never one task for all rows.
     The numbered table is checkpointed so that a recomputation after a lost
     executor cannot renumber it."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, key).sortWithinPartitions(key)
     mid = F.monotonically_increasing_id()
     numbered = cut_lineage(ranged.withColumn("_mid", mid)

@@ -38,22 +38,26 @@ def q_t4_tbc_output(spark, sf):
     return T.tbc_output(wide, T.tbc_candidates(T.tbc_matches(wide, K, "jaccard"), THRESHOLD), K)
 
 
+#: Values of an embedding: all of them are features.
+DIMS = 64
+
+
 def _embedding_table(spark, sf):
     e = R.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     arr = F.col("embedding")
-    return e.select(F.col("vec_id").alias("row_id"), *[arr[i].cast("double").alias(f"f{i}") for i in range(16)],
+    return e.select(F.col("vec_id").alias("row_id"), *[arr[i].cast("double").alias(f"f{i}") for i in range(DIMS)],
                     F.concat(F.lit("label"), F.col("label").cast("string")).alias("label"))
 
 
 def q_t1_tbc_partitions(spark, sf):
     df = _embedding_table(spark, sf)
-    wide = T.tbc_partitions(df, [f"f{i}" for i in range(16)], K, seed=1)
+    wide = T.tbc_partitions(df, [f"f{i}" for i in range(DIMS)], K, seed=1)
     return T.partitions_long(wide, K)
 
 
 def q_t5_trace_based_clustering(spark, sf):
     df = _embedding_table(spark, sf)
-    return T.trace_based_clustering(df, [f"f{i}" for i in range(16)], K, "jaccard", seed=1, threshold=0.3)
+    return T.trace_based_clustering(df, [f"f{i}" for i in range(DIMS)], K, "jaccard", seed=1, threshold=0.3)
 
 
 def q_m1_ordinal_encode(spark, sf):
@@ -74,7 +78,7 @@ def _classify(spark, sf, model, binary=False):
     split = M.split_train_test(df, "row_id", seed=M.SPLIT_SEED)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
-    feats = [f"f{i}" for i in range(16)]
+    feats = [f"f{i}" for i in range(DIMS)]
     _, tr, te = M.fit_predict(train, test, "label", model, 0, feats)
     return (tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
             .select("row_id", "split", "label", "label_pred"))

@@ -33,7 +33,7 @@ def cohort_from_fhir(condition: DataFrame, patient: DataFrame, encounter: DataFr
     encounter; the first coding is the code, the encounter end the date."""
     c = condition.select(_ref_id(F.col("subject.reference")).alias("patient"),
                          _ref_id(F.col("context.reference")).alias("encounter"),
-                         F.element_at(F.col("code.coding"), 1)["code"].alias("code"))
+                         F.try_element_at(F.col("code.coding"), F.lit(1))["code"].alias("code"))
     p = patient.select(F.col("id").cast("string").alias("patient"), F.col("birthDate").cast("string").alias("dob"))
     e = encounter.select(F.col("id").cast("string").alias("encounter"),
                          F.col("period.end").cast("string").try_cast("timestamp").alias("end"))
@@ -79,7 +79,7 @@ def cohort_from_i2b2(patients: DataFrame, primary: DataFrame, secondary: DataFra
         secondary.select("patient_id", "concept_cd", "end_date"))
     end = F.col("end_date").cast("string").try_cast("timestamp")
     o = obs.select(F.col("patient_id").cast("string").alias("patient"),
-                   F.element_at(F.split("concept_cd", ":"), 2).alias("code"), end.alias("end"))
+                   F.try_element_at(F.split("concept_cd", ":"), F.lit(2)).alias("code"), end.alias("end"))
     item = _item(F.col("code"), F.coalesce(F.date_format("end", ISO_MILLIS), F.lit(ZERO_DATETIME)))
     per = o.groupBy("patient").agg(F.array_join(F.sort_array(F.collect_set(item)), ",").alias("codes"),
                                    F.max("end").alias("last"))
