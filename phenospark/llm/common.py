@@ -14,12 +14,11 @@ from phenospark.session import ensure_checkpoint_dir
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII; texts are lower-cased in A-Z only.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = re.compile(WORD)
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text after lower-casing A-Z."""
-    return WORDS.findall(text.translate(ASCII_LOWER) if not text.isascii() else text.lower())
+    return WORDS.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))  # bytes lower in A-Z only
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -91,23 +91,20 @@ def filter_places(word: str) -> tuple[int, int]:
 
 
 class _Members:
-    """Membership by the filter, remembered for words seen (bounded)."""
+    """Membership by the filter; words seen are remembered (bounded)."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.known = bits, {}
-
-    def of(self, words: list[str]) -> list[int]:
-        get, out = self.known.get, []
-        for i, found in enumerate(map(get, words)):
-            if found is None:
-                w = words[i]
-                found = all(self.bits[h >> 3] >> (h & 7) & 1 for h in filter_places(w))
-                if len(self.known) >= 500_000:
-                    self.known.clear()
-                self.known[w] = found
-            if found:
-                out.append(i)
-        return out
+        self.bits, self.seen, self.inside = bits, set(), set()
+
+    def among(self, words: set) -> set:
+        """Those of the words that the filter has."""
+        if len(self.seen) > 1_000_000:
+            self.seen.clear()
+            self.inside.clear()
+        new = words.difference(self.seen)
+        self.inside.update(w for w in new if all(self.bits[h >> 3] >> (h & 7) & 1 for h in filter_places(w)))
+        self.seen |= new
+        return words & self.inside
 
 
 def rarity(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -122,14 +119,24 @@ def rarity(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        members, total = _Members(bits.value), Counter()
+        members, total, words = _Members(bits.value), Counter(), Counter()
+
+        def settle():
+            """Only words of the filter go on; the others are forgotten."""
+            for w in members.among(set(words)):
+                total[w] += words[w]
+            words.clear()
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = words_of(text) if text else []
-                total.update([words[i] for i in members.of(words)])
+                if text:
+                    words.update(words_of(text))
+                    if len(words) > 300_000:
+                        settle()
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_pydict({"word": list(total), "n": pa.array(total.values(), pa.int64())})
                 total.clear()
+        settle()
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(total.values(), pa.int64())})
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -160,8 +167,9 @@ def scan_documents(docs: DataFrame, prefix_words: DataFrame, size: int) -> DataF
                 for text in texts:
                     words = words_of(text) if text else []
                     counts.append(len(words))
-                    at.append([{"word": words[i], "place": i, "around": words[max(0, i - size + 1):i + size], "first": max(0, i - size + 1)}
-                               for i in members.of(words)])
+                    inside = members.among(set(words))
+                    at.append([{"word": w, "place": i, "around": words[max(0, i - size + 1):i + size], "first": max(0, i - size + 1)}
+                               for i, w in enumerate(words) if w in inside] if inside else [])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()),
                                                   pa.array(at, kind)], names=["doc_id", "key", "n_words", "at"])
 
