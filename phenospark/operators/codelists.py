@@ -242,7 +242,7 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
                 .otherwise(_at(F.filter(parts, lambda t: ~TX.ignored(TX.clean_word(t))), 1)))
     capitalised = F.array_join(F.transform(F.split(F.col("description"), " "), lambda w: F.when(
         F.exists(F.col("_lname"), lambda n: F.contains(n, F.lower(w))) & (w != ""),
-        F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))).otherwise(w)), " ")
+        F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))).otherwise(w)), " ")
     d = d.select("filename", "row_no", "code", F.when(F.col("has_terms"), F.coalesce(F.col("matched"), key_term))
                  .when(F.col("rows") == 1, capitalised).otherwise(F.col("name")).alias("category_key"))
     other = inc.where(F.col("description").isNull() | (F.col("description") == ""))
@@ -268,7 +268,7 @@ def label_expr(key: Column, group: Column, name: Column) -> Column:
     swapped = F.when((F.size(ws) == 2) & (F.lower(_at(ws, 2)) == F.lower(name))
                      & ~F.lower(_at(ws, 1)).rlike(TX.ADJECTIVE_SUFFIX),
                      F.concat(F.lower(_at(ws, 2)), F.lit(" "), F.lower(_at(ws, 1)))).otherwise(appended)
-    cap = F.concat(F.upper(F.substring(swapped, 1, 1)), F.substring(swapped, 2, 1 << 20))
+    cap = F.concat(F.upper(F.substring(swapped, 1, 1)), F.substr(swapped, F.lit(2)))
     return F.concat(F.when(key == name, key).otherwise(cap), F.lit(" - "), group)
 
 

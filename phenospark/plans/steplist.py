@@ -70,7 +70,7 @@ def name_from_file_col(file) -> "Column":
     n = F.size(parts)
     parts = F.when((n > 1) & F.element_at(parts, -1).rlike("^0*[1-9]"), F.slice(parts, 1, n - 1)).otherwise(parts)
     joined = F.array_join(parts, " ")
-    cap = F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
+    cap = F.concat(F.upper(F.substring(joined, 1, 1)), F.substr(joined, F.lit(2)))
     return F.replace(cap, F.lit(".csv"), F.lit(""))
 
 
