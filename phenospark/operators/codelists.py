@@ -297,44 +297,70 @@ def dedupe_files(cl: DataFrame, upload_col: str = "upload_seq") -> DataFrame:
 def row_text(attrs: Column | None = None) -> Column:
     attrs = F.col("attrs") if attrs is None else attrs
     ent = F.array_sort(F.map_entries(attrs))
-    return F.array_join(F.transform(ent, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))), "|")
+    return F.array_join(F.transform(ent, lambda e: F.concat_ws("=", _escaped(e["key"]), _escaped(F.coalesce(e["value"], F.lit(""))))), "|")
 
 
-def _row_hash(c: Column) -> Column:
-    """First 15 hex digits of SHA-1 as a number (exact in 60 bits)."""
-    return F.conv(F.substring(F.sha1(c), 1, 15), 16, 10).cast("decimal(38,0)")
+def _escaped(c: Column) -> Column:
+    """Text whose ``=`` and ``|`` can't be taken for the separators of a row."""
+    for mark in ("\\", "=", "|"):
+        c = F.replace(c, F.lit(mark), F.lit("\\" + mark))
+    return c
+
+
+def _digest_sum(c: Column) -> Column:
+    """Order-free identity of a set of rows: the whole SHA-1 of each, in three
+    parts of 14, 14 and 12 hex digits, each summed."""
+    parts = [F.sum(F.conv(F.substring(F.sha1(c), at, size), 16, 10).cast("decimal(38,0)")).cast("string")
+             for at, size in ((1, 14), (15, 14), (29, 12))]
+    return F.concat_ws("-", *parts)
 
 
 def fingerprint(cl: DataFrame, keys=("filename",)) -> DataFrame:
     """Content identity of each file: the sum over rows of a SHA-1 of
     ``row_no`` and the row's sorted ``key=value`` text.  A sum is an algebraic
     aggregate, so a file is fingerprinted without gathering its rows."""
-    h = _row_hash(F.concat_ws("#", F.col("row_no").cast("string"), row_text()))
-    return cl.groupBy(*keys).agg(F.sum(h).cast("string").alias("fingerprint"))
+    text = F.concat_ws("#", F.col("row_no").cast("string"), row_text())
+    return cl.groupBy(*keys).agg(_digest_sum(text).alias("fingerprint"))
 
 
-def steplist_fingerprint(steplists: DataFrame, file_prints: DataFrame, max_depth: int = 8) -> DataFrame:
+def steplist_fingerprint(steplists: DataFrame, file_prints: DataFrame) -> DataFrame:
     """``steplists(filename, seq, logicType, param)`` -> ``(filename,
-    fingerprint)``: the sum of the fingerprints of the distinct codelists the
-    steplist names (both files of a temporal row); a branch contributes its
-    nested steplist's fingerprint.  Nesting is resolved level by level."""
-    refs = steplists.select(
-        "filename", "logicType",
-        F.when(F.col("logicType").isin("codelist", "codelistExclude", "branch"),
-               F.array(F.split("param", ":")[0]))
-        .when(F.col("logicType") == "codelistsTemporal",
-              F.array(F.split("param", ":")[0], F.split("param", ":")[1])).alias("files"))
-    refs = refs.select("filename", "logicType", F.explode("files").alias("ref")).distinct()
-    known = file_prints.select(F.col("filename").alias("ref"), "fingerprint")
-    result = None
-    for _ in range(max_depth):
-        j = refs.join(known, "ref", "left")
-        done = j.groupBy("filename").agg(F.sum(F.col("fingerprint").cast("decimal(38,0)")).cast("string").alias("fingerprint"),
-                                         F.bool_and(F.col("fingerprint").isNotNull()).alias("complete"))
-        result = done
-        known = file_prints.select(F.col("filename").alias("ref"), "fingerprint").unionByName(
-            done.where("complete").select(F.col("filename").alias("ref"), "fingerprint"))
-    return result.where("complete").select("filename", "fingerprint")
+    fingerprint, problem)``: the identity of the set of files the steplist
+    names (both files of a temporal row), a branch standing for its nested
+    steplist.  Nesting of any depth is resolved level by level until nothing
+    is added.  A steplist without files has the fingerprint ``empty``; one that
+    names a file nobody holds, or that contains itself, has none and says so
+    in ``problem`` (``unknown file`` or ``cycle``), as do those that name it."""
+    part = F.split("param", ":")
+    files = F.when(F.col("logicType").isin("codelist", "codelistExclude"), F.array(part[0])) \
+        .when(F.col("logicType") == "codelistsTemporal", F.array(part[0], F.try_element_at(part, F.lit(2)))) \
+        .when(F.col("logicType") == "branch", F.array("param"))
+    nested = F.col("logicType") == "branch"
+    refs = cut_lineage(steplists.select("filename", nested.alias("nested"), F.explode(files).alias("ref")).distinct())
+    names = steplists.select("filename").distinct()
+    held = file_prints.select(F.lit(False).alias("nested"), F.col("filename").alias("ref"), F.col("fingerprint").alias("print"))
+    empty = names.join(refs, "filename", "left_anti").select("filename", F.lit("empty").alias("fingerprint"))
+    done, n_done = cut_lineage(empty), -1
+    while (n := done.count()) > n_done:
+        n_done = n
+        known = held.unionByName(done.select(F.lit(True).alias("nested"), F.col("filename").alias("ref"), F.col("fingerprint").alias("print")))
+        open_refs = refs.join(done, "filename", "left_anti").join(known, ["nested", "ref"], "left")
+        text = F.concat_ws("#", F.col("nested").cast("string"), F.col("print"))
+        new = (open_refs.groupBy("filename").agg(_digest_sum(text).alias("fingerprint"), F.bool_and(F.col("print").isNotNull()).alias("all"))
+               .where("all").select("filename", "fingerprint"))
+        done = cut_lineage(done.unionByName(new))
+    # what is left names an unknown file, directly or below, or only itself
+    rest = refs.join(done, "filename", "left_anti")
+    lost = (rest.where(~F.col("nested")).join(held, ["nested", "ref"], "left_anti").select("filename")
+            .unionByName(rest.where("nested").join(names.withColumnRenamed("filename", "ref"), "ref", "left_anti").select("filename")))
+    lost, n_lost = cut_lineage(lost.distinct()), -1
+    while (n := lost.count()) > n_lost:
+        n_lost = n
+        above = rest.where("nested").join(lost.withColumnRenamed("filename", "ref"), "ref").select("filename")
+        lost = cut_lineage(lost.unionByName(above).distinct())
+    return (names.join(done, "filename", "left").join(lost.withColumn("lost", F.lit(True)), "filename", "left")
+            .select("filename", "fingerprint", F.when(F.col("fingerprint").isNotNull(), F.lit(None).cast("string"))
+                    .when(F.col("lost"), F.lit("unknown file")).otherwise(F.lit("cycle")).alias("problem")))
 
 
 # K18 ----------------------------------------------------------------------------

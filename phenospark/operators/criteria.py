@@ -156,11 +156,11 @@ def _age_in_range(df: DataFrame, lower: int, upper: int, as_of, dob_col: str) ->
     return (age >= F.lit(int(lower))) & (age < F.lit(int(upper)))
 
 
-def age(df: DataFrame, lower: int, upper: int, as_of, dob_col: str = "dob") -> DataFrame:
-    """``age-exclusion`` is FALSE iff ``lower <= age < upper`` at ``as_of``;
+def age(df: DataFrame, lower: int, upper: int, as_of, dob_col: str = "dob", name: str = "age") -> DataFrame:
+    """``<name>-exclusion`` is FALSE iff ``lower <= age < upper`` at ``as_of``;
     an unreadable date of birth excludes."""
     inside = F.coalesce(_age_in_range(df, lower, upper, as_of, dob_col), F.lit(False))
-    return _append(df, f"age-{EXCLUSION}", F.when(inside, F.lit(FALSE)).otherwise(F.lit(TRUE)))
+    return _append(df, f"{name}-{EXCLUSION}", F.when(inside, F.lit(FALSE)).otherwise(F.lit(TRUE)))
 
 
 def age_identified(df: DataFrame, lower: int, upper: int, as_of, dob_col: str = "dob") -> DataFrame:
@@ -169,11 +169,12 @@ def age_identified(df: DataFrame, lower: int, upper: int, as_of, dob_col: str =
 
 
 # C9 -------------------------------------------------------------------------
-def last_encounter(df: DataFrame, max_years: int, as_of, col: str = "last-encounter") -> DataFrame:
-    """``last-encounter-exclusion`` FALSE iff the calendar-year gap to
+def last_encounter(df: DataFrame, max_years: int, as_of, col: str = "last-encounter",
+                   name: str = "last-encounter") -> DataFrame:
+    """``<name>-exclusion`` FALSE iff the calendar-year gap to
     ``as_of`` is below ``max_years``; unreadable date excludes."""
     recent = F.coalesce(calendar_year_gap(parse_date(q(col)), as_of) < F.lit(int(max_years)), F.lit(False))
-    return _append(df, f"last-encounter-{EXCLUSION}", F.when(recent, F.lit(FALSE)).otherwise(F.lit(TRUE)))
+    return _append(df, f"{name}-{EXCLUSION}", F.when(recent, F.lit(FALSE)).otherwise(F.lit(TRUE)))
 
 
 # C10 ------------------------------------------------------------------------

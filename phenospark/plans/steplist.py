@@ -20,7 +20,7 @@ definitions, so they are read on the driver (bounded); the codelists stay
 DataFrames.  Two evaluators share the planned steps:
 
 * :func:`evaluate_steplist` folds criteria over the wide table (the table
-  model; codes become literal ``IN`` lists, size-checked);
+  model; the definition's codes become literal ``IN`` lists);
 * :func:`evaluate_steplist_events` computes **all** coded steps in one join of
   the events with a step-code table and one aggregate keyed by
   ``(patient, step)``, pivoted on the known step columns; then the same
@@ -38,10 +38,7 @@ from pyspark.sql import functions as F
 from phenospark.functions.cells import q
 from phenospark.functions.dates import floor_days
 from phenospark.operators import criteria as C
-from phenospark.session import has_at_most, maybe_broadcast
-
-MAX_STEPLIST_ROWS = 10_000
-MAX_LITERAL_CODES = 100_000
+from phenospark.session import maybe_broadcast
 
 
 # --- names ---------------------------------------------------------------------
@@ -110,27 +107,47 @@ class Step:
 
 def _rows(steplist) -> list[tuple[int, str, str]]:
     if isinstance(steplist, DataFrame):
-        if not has_at_most(steplist, MAX_STEPLIST_ROWS):
-            raise ValueError("steplist too long")
         rows = [(int(r["seq"]), r["logicType"], r["param"]) for r in steplist.collect()]
     else:
         rows = [(int(s), t, p) for s, t, p in steplist]
     return sorted(rows)
 
 
-def plan_steplist(steplist, categories: DataFrame, nested: dict | None = None) -> list[Step]:
+def _files(steplist, nested: dict) -> set[str]:
+    """The codelist files a steplist names, those of its branches included."""
+    out = set()
+    for _, kind, param in _rows(steplist):
+        p = str(param).split(":")
+        if kind == "branch" and p[0] in nested:
+            out |= _files(nested[p[0]], nested)
+        else:
+            out |= set(p[:2] if kind == "codelistsTemporal" else p[:1])
+    return out
+
+
+def plan_steplist(steplist, categories: DataFrame, nested: dict | None = None,
+                  file_categories: dict | None = None) -> list[Step]:
     """Expand steplist rows into steps.  ``categories`` is ``(file, category,
-    code)``; only the category *names* per file are read here."""
+    code)``; only the category *names* of the files that the steplist names are
+    read here.
+
+    Every step writes a flag of its own.  Where two steps of one list share a
+    name, its codelist steps take their file's category
+    (``file_categories``: file -> text) into their names; a name that is still
+    shared, by another step or by a step of a branch, gets a number: ``-2``,
+    ``-3``, ... before its ending."""
     nested = nested or {}
-    names = {}
-    cat_names = categories.where(F.col("category").isNotNull()).select("file", "category").distinct()
-    if not has_at_most(cat_names, MAX_STEPLIST_ROWS * 100):
-        raise ValueError("too many categories for one definition")
+    cat_names = (categories.where(F.col("category").isNotNull() & F.col("file").isin(sorted(_files(steplist, nested))))
+                 .select("file", "category").distinct())
+    names: dict = {}
     for r in cat_names.collect():
         names.setdefault(r["file"], []).append(r["category"])
     for f in names:
         names[f].sort()
+    return _planned(steplist, names, nested, file_categories or {}, set())
 
+
+def _planned(steplist, names: dict, nested: dict, file_categories: dict, used: set) -> list[Step]:
     def cats(file):
         if file not in names:
             raise ValueError(f"no categories for codelist file {file!r}")
@@ -162,16 +179,25 @@ def plan_steplist(steplist, categories: DataFrame, nested: dict | None = None) -
         elif kind == "branch":
             if p[0] not in nested:
                 raise ValueError(f"no nested steplist {p[0]!r}")
-            inner = plan_steplist(nested[p[0]], categories, nested)
             name = clean_name(name_from_file(p[0]).lower())
-            steps.append(Step("branch", name + "-identified", file=p[0], item=item, branch=inner))
+            steps.append(Step("branch", name + "-identified", file=p[0], item=item))
         else:
             raise ValueError(f"unknown logicType {kind!r}")
-    seen = set()
+    if len({s.column for s in steps}) < len(steps):
+        for s in steps:
+            if s.kind == "codelist" and file_categories.get(s.file):
+                stem, end = s.column.rsplit("-", 1)
+                s.column = f"{stem}-{clean_name(file_categories[s.file].lower())}-{end}"
     for s in steps:
-        if s.column in seen:
-            raise ValueError(f"two steps write {s.column!r}; rename a category")
-        seen.add(s.column)
+        stem, end = s.column.rsplit("-", 1)
+        count = 1
+        while s.column in used:
+            count += 1
+            s.column = f"{stem}-{count}-{end}"
+        used.add(s.column)
+    for s in steps:                       # branches last: the names of the list itself come first
+        if s.kind == "branch":
+            s.branch = _planned(nested[s.file], names, nested, file_categories, used)
     return steps
 
 
@@ -186,11 +212,11 @@ def branch_groups(steps: list[Step]) -> list[list[str]]:
 
 
 # --- wide evaluation ---------------------------------------------------------------
-def _literal_codes(categories: DataFrame) -> dict:
-    if not has_at_most(categories, MAX_LITERAL_CODES):
-        raise ValueError("codelists too large for literal lists; use evaluate_steplist_events")
+def _literal_codes(categories: DataFrame, steps: list[Step]) -> dict:
+    """The codes of the files that the definition names."""
+    files = sorted({f for s in _flat(steps) for f in (s.file, s.before_file) if f})
     out: dict = {}
-    for r in categories.select("file", "category", "code").distinct().collect():
+    for r in categories.where(F.col("file").isin(files)).select("file", "category", "code").distinct().collect():
         out.setdefault((r["file"], r["category"]), []).append(r["code"])
         out.setdefault((r["file"], None), []).append(r["code"])
     return {k: sorted(set(v)) for k, v in out.items()}
@@ -209,9 +235,9 @@ def _apply_wide(df: DataFrame, steps: list[Step], codes: dict, as_of, keywords:
         elif s.kind == "keywords":
             df = C.keywords(df, col, (keywords or codes)[(s.file, s.category)])
         elif s.kind == "age":
-            df = C.age(df, s.lower, s.upper, as_of)
+            df = C.age(df, s.lower, s.upper, as_of, name=col)
         elif s.kind == "last_encounter":
-            df = C.last_encounter(df, s.years, as_of)
+            df = C.last_encounter(df, s.years, as_of, name=col)
         elif s.kind == "branch":
             df = _apply_wide(df, s.branch, codes, as_of, keywords)
             df = C.nested_cases(df, branch_groups(s.branch), col)
@@ -221,7 +247,7 @@ def _apply_wide(df: DataFrame, steps: list[Step], codes: dict, as_of, keywords:
 def evaluate_steplist(df: DataFrame, steps: list[Step], categories: DataFrame, as_of,
                       keywords: dict | None = None) -> DataFrame:
     """Wide table in, resolved cases out (all criteria fused in projections)."""
-    return C.resolve_cases(_apply_wide(df, steps, _literal_codes(categories), as_of, keywords))
+    return C.resolve_cases(_apply_wide(df, steps, _literal_codes(categories, steps), as_of, keywords))
 
 
 # --- long evaluation -----------------------------------------------------------------
@@ -269,7 +295,9 @@ def evaluate_steplist_events(events: DataFrame, patients: DataFrame, steps: list
         # patient is spread over tasks; then one aggregate keyed by patient
         # computes every step's count / latest-before / earliest-after as
         # conditional algebraic aggregates (map-side combined, one shuffle).
-        dev = events.select("patient_id", "code", "ts").distinct()
+        # Events of no listed code go before that shuffle.
+        listed = maybe_broadcast(sc.select("code").distinct())
+        dev = events.select("patient_id", "code", "ts").join(listed, "code", "left_semi").distinct()
         joined = dev.join(maybe_broadcast(sc), "code")
         if temporal_order == "listed":
             from phenospark.plans.records import cell_item
@@ -312,9 +340,9 @@ def evaluate_steplist_events(events: DataFrame, patients: DataFrame, steps: list
                 h = hidden[s.column]
                 df = df.select(*[q(c) for c in df.columns if c != h], q(h).alias(s.column))
             elif s.kind == "age":
-                df = C.age(df, s.lower, s.upper, as_of)
+                df = C.age(df, s.lower, s.upper, as_of, name=s.column.rsplit("-", 1)[0])
             elif s.kind == "last_encounter":
-                df = C.last_encounter(df, s.years, as_of)
+                df = C.last_encounter(df, s.years, as_of, name=s.column.rsplit("-", 1)[0])
             elif s.kind == "branch":
                 df = fold(df, s.branch)
                 df = C.nested_cases(df, branch_groups(s.branch), s.column.rsplit("-", 1)[0])

@@ -127,8 +127,10 @@ WITH r AS (SELECT {FNAME} AS filename, p_partkey AS row_no,
                   'Description=' || p_type || ' ' || p_name AS e2,
                   CASE WHEN {FILE} <= 9 THEN 'Read Code' ELSE 'ICD-10 code' END || '=' || CAST(p_partkey AS VARCHAR) AS e3
            FROM part),
-t AS (SELECT filename, row_no, list_sort([e1, e2, e3]) AS es FROM r)
-SELECT filename, CAST(sum(CAST(CAST(('0x' || substr(sha1(CAST(row_no AS VARCHAR) || '#' || array_to_string(es, '|')), 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint
+t AS (SELECT filename, sha1(CAST(row_no AS VARCHAR) || '#' || array_to_string(list_sort([e1, e2, e3]), '|')) AS h FROM r)
+SELECT filename, CAST(sum(CAST(CAST('0x' || substr(h, 1, 14) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-' ||
+       CAST(sum(CAST(CAST('0x' || substr(h, 15, 14) AS BIGINT) AS HUGEINT)) AS VARCHAR) || '-' ||
+       CAST(sum(CAST(CAST('0x' || substr(h, 29, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint
 FROM t GROUP BY filename"""
 
 QUERIES = {

@@ -54,6 +54,24 @@ def q_c16l_steplist_events(spark, sf):
     return out.select("patient_id", *OUT_FLAGS)
 
 
+#: One file in two steps and in a branch, whose age rule is its own.
+REPEATED = [(1, "codelist", "economy.csv:2"), (2, "codelist", "economy.csv:4"), (3, "branch", "branch-economy.csv"), (4, "age", "20:90")]
+REPEATED_NESTED = {"branch-economy.csv": [(1, "age", "30:80"), (2, "codelist", "economy.csv:1")]}
+REPEATED_FLAGS = ["economy-brands-identified", "economy-brands-2-identified", "branch-economy-identified"]
+
+
+def _repeated_steps(spark, sf):
+    cats = type_codelist_files(spark, sf)
+    return S.plan_steplist(REPEATED, cats, REPEATED_NESTED), cats
+
+
+def q_c16r_steplist_repeated_file(spark, sf):
+    steps, cats = _repeated_steps(spark, sf)
+    pats = R.patients(spark, sf).join(R.last_encounters(spark, sf), "patient_id", "left")
+    out = S.evaluate_steplist_events(R.coded_events(spark, sf), pats, steps, cats, R.AS_OF)
+    return out.select("patient_id", *REPEATED_FLAGS)
+
+
 def _hits(name, file, src="dev"):
     return (f"{name} AS (SELECT patient_id, count(*) AS n FROM {src} "
             f"WHERE code IN (SELECT code FROM cl WHERE file = '{file}') GROUP BY patient_id)")
@@ -90,5 +108,13 @@ SELECT {pid},
 FROM f"""
 
 
-QUERIES = {"c16_steplist": q_c16_steplist, "c16l_steplist_events": q_c16l_steplist_events}
-ORACLES = {"c16_steplist": _sql("listed"), "c16l_steplist_events": _sql("date")}
+SQL_REPEATED = with_(EV, DEV, PAT, """cl AS (SELECT DISTINCT lower(p_type) || '.csv' AS file, p_brand AS code FROM part
+         WHERE p_size = (SELECT min(p2.p_size) FROM part p2 WHERE p2.p_type = part.p_type))""", _hits("he", "economy.csv")) + f"""
+SELECT patient_id, CASE WHEN n >= 2 THEN 'CASE' ELSE 'UNK' END AS "economy-brands-identified",
+       CASE WHEN n >= 4 THEN 'CASE' ELSE 'UNK' END AS "economy-brands-2-identified",
+       CASE WHEN n >= 1 AND {age_sql("dob")} >= 30 AND {age_sql("dob")} < 80 THEN 'CASE' ELSE 'UNK' END AS "branch-economy-identified"
+FROM pat LEFT JOIN he USING (patient_id)"""
+
+QUERIES = {"c16_steplist": q_c16_steplist, "c16l_steplist_events": q_c16l_steplist_events,
+           "c16r_steplist_repeated_file": q_c16r_steplist_repeated_file}
+ORACLES = {"c16_steplist": _sql("listed"), "c16l_steplist_events": _sql("date"), "c16r_steplist_repeated_file": SQL_REPEATED}

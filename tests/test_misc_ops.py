@@ -1,5 +1,7 @@
 """Row index, codelist file dedupe, steplist fingerprints, existing definitions."""
 
+import hashlib
+
 import pytest
 
 from phenospark.operators import catalog as G
@@ -29,11 +31,36 @@ def test_steplist_fingerprint(spark):
         ("main.csv", 1, "codelist", "a.csv:1"), ("main.csv", 2, "branch", "br.csv"),
         ("br.csv", 1, "codelistsTemporal", "b.csv:c.csv:1:10"), ("other.csv", 1, "codelist", "a.csv:2")],
         "filename string, seq int, logicType string, param string")
-    fp = {r["filename"]: int(r["fingerprint"]) for r in K.steplist_fingerprint(sl, prints).collect()}
-    p = {r["filename"]: int(r["fingerprint"]) for r in prints.collect()}
-    assert fp["br.csv"] == p["b.csv"] + p["c.csv"]
-    assert fp["main.csv"] == p["a.csv"] + fp["br.csv"]
-    assert fp["other.csv"] == p["a.csv"]
+    fp = {r["filename"]: r["fingerprint"] for r in K.steplist_fingerprint(sl, prints).collect()}
+    p = {r["filename"]: r["fingerprint"] for r in prints.collect()}
+
+    def total(*texts):
+        hs = [hashlib.sha1(t.encode()).hexdigest() for t in texts]
+        return "-".join(str(sum(int(h[i:j], 16) for h in hs)) for i, j in ((0, 14), (14, 28), (28, 40)))
+
+    assert fp["br.csv"] == total("false#" + p["b.csv"], "false#" + p["c.csv"])
+    assert fp["main.csv"] == total("false#" + p["a.csv"], "true#" + fp["br.csv"])
+    assert fp["other.csv"] == total("false#" + p["a.csv"])
+
+
+def test_steplist_fingerprint_any_depth_cycles_and_unknown_files(spark):
+    prints = K.fingerprint(spark.createDataFrame([("a.csv", 0, {"code": "1"})], "filename string, row_no int, attrs map<string,string>"))
+    chain = [(f"s{i}", 1, "branch", f"s{i + 1}") for i in range(11)] + [("s11", 1, "codelist", "a.csv:1")]
+    odd = [("age", 1, "age", "1:9"), ("gone", 1, "codelist", "nowhere.csv:1"), ("above", 1, "branch", "gone"),
+           ("x", 1, "branch", "y"), ("y", 1, "branch", "x"),
+           ("twice", 1, "codelist", "a.csv:1"), ("twice", 2, "codelistExclude", "a.csv")]
+    sl = spark.createDataFrame(chain + odd, "filename string, seq int, logicType string, param string")
+    got = {r["filename"]: (r["fingerprint"], r["problem"]) for r in K.steplist_fingerprint(sl, prints).collect()}
+    assert all(got[f"s{i}"][0] and got[f"s{i}"][1] is None for i in range(12))
+    assert len({got[f"s{i}"][0] for i in range(12)}) == 12
+    assert got["age"] == ("empty", None) and got["twice"] == got["s11"]
+    assert got["gone"] == got["above"] == (None, "unknown file") and got["x"] == got["y"] == (None, "cycle")
+
+
+def test_fingerprint_escapes_separators(spark):
+    cl = spark.createDataFrame([("a", 0, {"x": "1|y=2"}), ("b", 0, {"x": "1", "y": "2"})],
+                               "filename string, row_no int, attrs map<string,string>")
+    assert K.fingerprint(cl).select("fingerprint").distinct().count() == 2
 
 
 def test_find_existing_and_changes(spark):

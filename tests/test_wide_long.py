@@ -121,6 +121,25 @@ def test_steplist_listed_long_equals_wide(spark):
     assert w == lg
 
 
+def test_repeated_file_wide_equals_long(spark):
+    steps, cats = SQ._repeated_steps(spark, SF_SMALL)
+    flat = [s.column for s in S._flat(steps)] + [s.column for s in steps if s.kind == "branch"]
+    assert len(set(flat)) == len(flat) and "age-2-exclusion" in flat and "economy-brands-3-identified" in flat
+    wide = S.evaluate_steplist(R.cohort(spark, SF_SMALL), steps, cats, R.AS_OF)
+    long = SQ.q_c16r_steplist_repeated_file(spark, SF_SMALL)
+    w = {r["patient-id"]: tuple(r[f] for f in SQ.REPEATED_FLAGS) for r in wide.collect()}
+    assert w == {str(r[0]): tuple(r)[1:] for r in long.collect()}
+    assert any("CASE" in x for x in w.values())
+
+
+def test_file_category_tells_steps_apart(spark):
+    cats = spark.createDataFrame([("a.csv", "Asthma", "1"), ("b.csv", "Asthma", "2")], "file string, category string, code string")
+    rows = [(1, "codelist", "a.csv:1"), (2, "codelist", "b.csv:1")]
+    assert [s.column for s in S.plan_steplist(rows, cats, file_categories={"a.csv": "Primary Care", "b.csv": "secondary"})] == [
+        "asthma-primary-care-identified", "asthma-secondary-identified"]
+    assert [s.column for s in S.plan_steplist(rows, cats)] == ["asthma-identified", "asthma-2-identified"]
+
+
 def test_temporal_before_codes_use_whole_file(spark):
     rows = [("flu_icd10.csv", 0, {"ICD-10 code": "J10", "description": "influenza virus", "Case_Incl": "Y"}),
             ("flu_icd10.csv", 1, {"ICD-10 code": "J11", "description": "influenza virus", "Case_Incl": "N"}),
