@@ -211,6 +211,7 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
       else ``"Use of " + drugsubstance`` for product codes.
     """
     cl = _with_name(cl, name) if name is not None else cl
+    cl = cl.withColumn("name", plain_name(F.col("name")))
     # The prepared rows and the candidate terms feed several branches below;
     # each is materialised once (reliable checkpoint) instead of re-derived.
     inc = cut_lineage(with_description(included(cl)).withColumn("code", code_expr(F.col("attrs"))))
@@ -254,21 +255,56 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
                      F.when(cat_col.isNotNull(), cat_col)
                      .when(prod.isNotNull(), F.concat(F.lit("Use of "), F.coalesce(F.col("attrs")["drugsubstance"], F.lit("undefined"))))
                      .alias("category_key")).where(F.col("category_key").isNotNull())
-    return d.unionByName(o).join(grp, "filename", "left")
+    named = d.unionByName(o).where(F.col("code").isNotNull() & F.col("category_key").isNotNull())
+    return named.join(grp, "filename", "left")
+
+
+def rejections(cl: DataFrame, name=None) -> DataFrame:
+    """``(filename, row_no, reason)``: included rows that :func:`categorise`
+    leaves out, for want of a code (``no code``) or of a category (``no
+    category``); and, with a null ``row_no``, files without any category."""
+    inc = included(cl).withColumn("code", code_expr(F.col("attrs"))).select("filename", "row_no", "code")
+    named = cut_lineage(categorise(cl, name).select("filename", "row_no").distinct())
+    rows = inc.join(named, ["filename", "row_no"], "left_anti").select(
+        "filename", "row_no", F.when(F.col("code").isNull(), "no code").otherwise("no category").alias("reason"))
+    files = cl.select("filename").distinct().join(named.select("filename").distinct(), "filename", "left_anti")
+    return rows.unionByName(files.select("filename", F.lit(None).cast(dict(cl.dtypes)["row_no"]).alias("row_no"),
+                                         F.lit("no category").alias("reason")))
 
 
 # K10 ----------------------------------------------------------------------------
+def _replace_first(text: Column, find: Column, by: Column) -> Column:
+    at = F.position(find, text)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), by, F.substr(text, at + F.length(find)))).otherwise(text)
+
+
+def plain_name(name: Column) -> Column:
+    """The name without its first opening and first closing bracket."""
+    return F.regexp_replace(F.regexp_replace(name, r"^([^(]*)\(", "$1"), r"^([^)]*)\)", "$1")
+
+
 def label_expr(key: Column, group: Column, name: Column) -> Column:
     """``<key>[ <name>] - <group>``: the name is appended unless one contains
     the other; a two-word key ending in the name puts the name first; the
-    first letter is capitalised; a key equal to the name stays as it is."""
+    first letter is capitalised; a key equal to the name stays as it is.
+
+    A name of several words counts as its last telling word while the key is
+    ordered ("asthma Type diabetes" -> "Type diabetes asthma"); such keys are
+    in lower case but for the name."""
+    name = plain_name(name)
     fk, fn = TX.full_clean(key), TX.full_clean(name)
     appended = F.when(F.contains(fk, fn) | F.contains(fn, fk), key).otherwise(F.concat(key, F.lit(" "), name))
-    ws = F.split(appended, " ")
-    swapped = F.when((F.size(ws) == 2) & (F.lower(_at(ws, 2)) == F.lower(name))
-                     & ~F.lower(_at(ws, 1)).rlike(TX.ADJECTIVE_SUFFIX),
-                     F.concat(F.lower(_at(ws, 2)), F.lit(" "), F.lower(_at(ws, 1)))).otherwise(appended)
-    cap = F.concat(F.upper(F.substring(swapped, 1, 1)), F.substr(swapped, F.lit(2)))
+    telling = F.filter(F.split(name, " "), lambda w: ~TX.ignored(TX.clean_word(w)))
+    short = F.when((F.size(F.split(name, " ")) > 1) & (appended != name) & F.contains(appended, name),
+                   F.try_element_at(telling, F.lit(-1)))
+    ordered = F.when(short.isNotNull(), _replace_first(appended, name, short)).otherwise(appended)
+    ws = F.split(ordered, " ")
+    first, second = F.lower(_at(ws, 1)), F.lower(_at(ws, 2))
+    turns = (second == F.lower(F.coalesce(short, name))) | F.coalesce(first == F.lower(short), F.lit(False))
+    swapped = F.when((F.size(ws) == 2) & turns & ~first.rlike(TX.ADJECTIVE_SUFFIX),
+                     F.concat(second, F.lit(" "), first)).otherwise(ordered)
+    full = F.when(short.isNotNull(), _replace_first(F.lower(swapped), F.lower(short), name)).otherwise(swapped)
+    cap = F.concat(F.upper(F.substring(full, 1, 1)), F.substr(full, F.lit(2)))
     return F.concat(F.when(key == name, key).otherwise(cap), F.lit(" - "), group)
 
 

@@ -88,6 +88,29 @@ def test_bigram_dice_values(spark):
     assert vals == [0.75, 0.25, 0.5, 1.0]
 
 
+def test_labels_of_names_of_several_words(spark):
+    rows = [("asthma", "Type diabetes", "Type diabetes asthma - primary"),
+            ("Type diabetes", "Type diabetes", "Type diabetes - primary"),
+            ("chronic", "Type diabetes", "Chronic Type diabetes - primary"),
+            ("severe late asthma", "Type diabetes", "Severe late asthma Type diabetes - primary"),
+            ("asthma", "Heart (left) failure", "Heart left failure asthma - primary"),
+            ("wheeze", "Asthma", "Asthma wheeze - primary")]
+    df = spark.createDataFrame(rows, "k string, n string, want string")
+    got = [(r["k"], r["n"], r["label"]) for r in df.withColumn("label", K.label_expr(F.col("k"), F.lit("primary"), F.col("n"))).collect()]
+    assert got == rows
+
+
+def test_rejections(spark):
+    cl = K.clean_headers(_long(spark, [("a_read.csv", [{"code": "1", "description": "asthma attack"}, {"description": "asthma severe"},
+                                                       {"code": "3", "description": "asthma attack"}, {"code": "4"}]),
+                                       ("b_read.csv", [{"code": "9"}])]))
+    cats = K.categories(cl, "Asthma").collect()
+    assert sorted(r["code"] for r in cats) == ["1", "3"]
+    got = {(r["filename"], r["row_no"], r["reason"]) for r in K.rejections(cl, "Asthma").collect()}
+    assert got == {("a_read.csv", 1, "no code"), ("a_read.csv", 3, "no category"), ("b_read.csv", 0, "no category"),
+                   ("b_read.csv", None, "no category")}
+
+
 def test_fingerprint_changes_with_content(spark):
     a = _long(spark, [("f.csv", [{"code": "1"}, {"code": "2"}])])
     b = _long(spark, [("f.csv", [{"code": "2"}, {"code": "1"}])])
