@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenospark.session import cut_lineage
+
 METRICS = ("jaccard", "jaccard2", "dice")
 SEED_STEP = 3
 
@@ -33,9 +35,10 @@ def cluster_col(k: int) -> str:
 
 # T1 -----------------------------------------------------------------------------------
 def tbc_partitions(df: DataFrame, features: Sequence[str], K: int, seed: int, key: str = "row_id",
-                   max_iter: int = 20) -> DataFrame:
+                   max_iter: int = 300) -> DataFrame:
     """K-means for k = 2..K (seed grows by 3 per run) -> ``(key, c_2..c_K)``.
-    The assembled vectors are persisted once and reused by the K-1 fits."""
+    The assembled vectors are persisted once and reused by the K-1 fits; a fit
+    ends when its centres rest, after ``max_iter`` rounds at the latest."""
     _check(K)
     if int(seed) != seed or seed < 0:
         raise ValueError("seed must be an integer >= 0")
@@ -113,6 +116,6 @@ def tbc_output(wide: DataFrame, candidates: DataFrame, K: int, key: str = "row_i
 def trace_based_clustering(df: DataFrame, features: Sequence[str], K: int, metric: str, seed: int, threshold: float,
                            key: str = "row_id") -> DataFrame:
     _check(K, metric)
-    wide = tbc_partitions(df, features, K, seed, key)
+    wide = cut_lineage(tbc_partitions(df, features, K, seed, key))   # read for sizes, overlaps and output
     cands = tbc_candidates(tbc_matches(wide, K, metric), threshold)
     return tbc_output(wide, cands, K, key)
