@@ -57,7 +57,7 @@ def q_t1_tbc_partitions(spark, sf):
 
 def q_t5_trace_based_clustering(spark, sf):
     df = _embedding_table(spark, sf)
-    return T.trace_based_clustering(df, [f"f{i}" for i in range(DIMS)], K, "jaccard", seed=1, threshold=0.3)
+    return T.trace_based_clustering(df, [f"f{i}" for i in range(DIMS)], K, "jaccard", seed=1, threshold=0.25)
 
 
 def q_m1_ordinal_encode(spark, sf):
