@@ -38,3 +38,23 @@ def test_empty(spark, empty, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_emptied_copies_leave_one_row(spark, tmp_path):
+    """Copies whose chunks line_dedup cuts are one wordless class, through run()."""
+    from phenospark.llm.linechunks import without_repeated_chunks
+
+    def emptied(text):
+        rows = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        return without_repeated_chunks(rows).filter("doc_id = 2").first().text == ""
+
+    texts = ("\n".join(f"line {k} of text {n} with some words" for k in range(4)) for n in range(200))
+    whole = [t for t, _ in zip((t for t in texts if emptied(t)), range(2), strict=False)]
+    rows = [(i, whole[i % 2], "a") for i in range(10, 30)] + [(i, f"text number {i} of its own, kept whole", "b") for i in range(30, 40)]
+    rows += [(3, None, "a"), (4, None, "a"), (5, " . ", "a"), (6, " . ", "a"), (None, " . ", "a"), (None, "", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    # the first of each text, one emptied copy, one null text, one of the rows without a word
+    assert got == {10, 11, 12, 3, 5, *range(30, 40)}
