@@ -89,3 +89,41 @@ def without_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3,
     return keyed.alias("d").join(gone, same, "left").select(
         *[new.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns],
         F.coalesce(F.size("gone"), F.lit(0)).alias("chunks_removed"))
+
+
+def later_pairs(docs: DataFrame) -> DataFrame:
+    """Per document with any: ``gone``, in order, the line numbers at which two lines
+    stand that stand in a row at an earlier place too (smallest ``doc_id``, then place)."""
+    lines = docs.filter(F.col("text").isNotNull()).select(*_document_key(), F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") > 1)
+    digest = lambda a, b: F.unhex(F.sha2(F.concat(a, F.lit("\n"), b).cast("binary"), 256))
+    count = F.size("lines") - 1
+    pairs = lines.select("key_id", "key_a", "key_b", F.posexplode(F.zip_with(F.slice("lines", 1, count), F.slice("lines", 2, count), digest))
+                         .alias("start", "h"))
+    found = pairs.select("h", F.struct(F.col("key_id").isNull().alias("no_id"), "key_id", "key_a", "key_b", "start").alias("place"))
+    firsts = found.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")) \
+        .filter(F.col("first") != F.col("last")).select("h", "first")
+    # of equal lines in a row the second pair shares a line with the first: that line is the first's
+    beside = F.col("first").withField("start", F.col("first.start") + 1)
+    later = found.join(firsts, "h").filter((F.col("place") != F.col("first")) & (F.col("place") != beside))
+    return later.groupBy("place.key_id", "place.key_a", "place.key_b").agg(F.array_sort(F.collect_list("place.start")).alias("gone"))
+
+
+def without_repeated_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines of passages of two lines or more that occur at an
+    earlier place, wherever chunks would end.  Every distinct line stays where it
+    occurs first.  Defined cases as for chunks."""
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"), "doc_id") \
+        .select("doc", "text", *_document_key())
+    gone = later_pairs(keyed.select(F.col("key_id").alias("doc_id"), "text")).alias("g")
+    same = F.col("d.key_id").eqNullSafe(F.col("g.key_id")) & (F.col("d.key_a") == F.col("g.key_a")) & (F.col("d.key_b") == F.col("g.key_b"))
+
+    def kept(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x + 2))
+        stops = F.concat(F.col("gone"), F.array(F.size(lines)))
+        return F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
+
+    # a one-element array holds the lines, which are used more than once
+    rest = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), kept), 1)
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return keyed.alias("d").join(gone, same, "left").select(
+        *[new.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

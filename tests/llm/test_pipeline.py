@@ -58,3 +58,39 @@ def test_emptied_copies_leave_one_row(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     # the first of each text, one emptied copy, one null text, one of the rows without a word
     assert got == {10, 11, 12, 3, 5, *range(30, 40)}
+
+
+def test_repeated_passages_go(spark, nasty, nasty_rows, empty, tmp_path):
+    """Planted passages of 2 to 15 lines between differing lines: all of the second
+    occurrence goes, the first stays; and all rows against brute force."""
+    from phenospark.llm.linechunks import without_repeated_passages
+
+    rows, want = [], {}
+    for n in range(140):
+        passage = [f"passage {n} line {k}" for k in range(2 + n % 14)]
+        for i in (n, n + 1000):
+            around = [[f"{i} {side} {k}" for k in range(3)] for side in ("before", "after")]
+            rows.append((i, "\n".join(around[0] + passage + around[1])))
+            want[i] = "\n".join(around[0] + (passage if i == n else []) + around[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == want
+
+    more = [(200, "a\na\na\na\na", "s"), (201, "x\ny\nx\ny\nx", "s"), (202, "y\nx", "s"), (203, "p\n\n", "s"), (None, "q\n\n\n", "s")]
+    documents = sorted({(i is None, i or 0, t) for i, t, _ in nasty_rows + more if t is not None})
+    first, result = {}, {}
+    for d in documents:
+        lines = d[2].split("\n")
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            first.setdefault(pair, (d, k))
+    for d in documents:
+        lines, gone = d[2].split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if first[pair] not in ((d, k), (d, k - 1)):
+                gone |= {k, k + 1}
+        result[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    expected = Counter((i, None if t is None else result[i is None, i or 0, t]) for i, t, _ in nasty_rows + more)
+    table = nasty.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    got = without_repeated_passages(table)
+    assert got.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == expected
+    assert without_repeated_passages(empty).count() == 0
