@@ -19,7 +19,8 @@ Occurrences of one frequent word are many rows of a join, which Spark splits; no
 task sees all of them.  Hit words are the union of the found intervals.
 
 Defined cases: null or wordless texts have no words, hits or windows; null or
-repeated item ids are kept (each id counts once); repeated documents are rows of
+repeated item ids are kept (each id counts once in ``n_items``, the null as one
+too; ``items`` lists the others); repeated documents are rows of
 their own; an empty benchmark hits nothing; further columns are ignored.
 """
 
@@ -200,8 +201,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     hits = spans.withColumn("reach", F.coalesce(reach, F.lit(0))) \
         .groupBy("row").agg(F.sum(F.greatest(F.col("b") - F.greatest("a", "reach"), F.lit(0))).alias("n_hit"))
-    items = found.select("row", "words").distinct().join(windows, "words").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = found.select("row", "words").distinct().join(windows, "words").groupBy("row").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("no_id"))
     return scanned.select("row", "doc_id", "key", "n_words").join(hits.join(items, "row"), "row", "left").select(
         "row", "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.size("items") + F.col("no_id"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))

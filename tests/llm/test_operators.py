@@ -245,6 +245,15 @@ def test_decontamination(spark, nasty, nasty_rows, empty):
     assert contamination(nasty, spark.createDataFrame([], "item_id long, text string")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_counts_a_null_item(spark):
+    from phenospark.llm.decontaminate import contamination
+
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five six"), (3, "one two and five six"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), (None, "three four"), (7, "five six"), (7, "and")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in contamination(docs, bench).collect()}
+    assert got == {1: (4, 1, []), 2: (2, 1, ["7"]), 3: (5, 2, ["7"]), 4: (0, 0, [])}
+
+
 def test_repeated_strings(nasty, nasty_rows, empty):
     from phenospark.llm.substrings import without_repeats
 
