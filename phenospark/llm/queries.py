@@ -209,6 +209,24 @@ def packed(docs: DataFrame) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.alignment import token_alignment
+
+    return token_alignment(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.conversations import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_bundles": op2_warc_bundles,
@@ -220,6 +238,9 @@ QUERIES = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_mixture_packing": op10_mixture_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_simhash_components": op12_simhash_components,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
