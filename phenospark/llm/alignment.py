@@ -21,16 +21,16 @@ A pair that lies in a third of all documents is one head a run, and its bodies
 stay in their runs, so no task holds all its documents.  Counting shuffles names
 and offsets of frames only.
 
-Text is cut before each space that follows a non-space: pre-tokens of A end
-there, and so do pieces of B (checked on load: no piece has a space behind
-another character).  So a unit's tokens are those of the whole text there, both
-sides end at its end, and groups, links and pairs of a unit are made once.
+A is encoded by pre-tokens, B by units cut before each run of spaces (checked on
+load: no piece has a space behind another character, so pieces end there too); both are
+looked up in a bounded cache first.  Groups and links of a
+batch of texts come from its token ends by array operations.
 
 Defined cases: null and empty texts, and texts that a tokenizer does not give
 back (a literal U+2581), have no tokens: zeros and an empty ``groups``.  Repeated
 rows are documents of their own; a null ``doc_id`` is kept; an empty table gives
-no rows; further columns are ignored.  A document with more records than the bound
-is a run of its own.
+no rows; further columns are ignored.  A run ends with the document that takes it
+over the bound, so a very long document makes a longer run.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,21 +46,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.llm.common import doc_columns, file_system, partition_count, shared_folder, written
+from phenospark.llm.encoding import _LETTERS, Encoder
 
 #: Radix partitions: low bits of the A id.
 RADIX_BITS = 6
 RADIXES = 1 << RADIX_BITS
 #: Runs merged at once, and runs whose contributions a task adds up at most (on average).
 FAN = 64
-#: Records (pair, document) in a run: about 100 MB while it is sorted.
-RUN_RECORDS = 2_000_000
+#: Links in a run (8 bytes each, before equal ones of a document are counted), and documents.
+RUN_LINKS = 6_000_000
 RUN_DOCUMENTS = 1 << 20
+#: Links that are expanded at once.
+STRIP_LINKS = 2_000_000
+#: Texts, and their characters, that are aligned at once.
+BATCH, BATCH_CHARS = 256, 1 << 20
 #: Bits of an id and of a document's place in its run.
 ID_BITS, DOC_BITS = 20, 24
-#: Bound of the cache of a Python worker, in units and in their pairs.
-CACHE_UNITS, CACHE_PAIRS = 150_000, 3_000_000
+#: Bound of the cache of B's units in a Python worker (about 250 bytes an entry).
+CACHE_UNITS = 300_000
 
-_UNITS = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+_UNITS = re.compile(" +[^ ]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _SPACE = "▁"
 
@@ -73,84 +78,139 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 class Aligner:
-    """Groups and links of texts under a byte-level vocabulary (``tokenizers``
-    file) and a SentencePiece model with byte fallback."""
+    """Tokens, groups and links of texts under a byte-level vocabulary
+    (``tokenizers`` file) and a SentencePiece model with byte fallback."""
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True  # their strings are plain text
+        self.a = Encoder(byte_level, cache_entries=CACHE_UNITS)
+        self.a.tokenizer.encode_special_tokens = True  # their strings are plain text
+        self.a.special = []
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(_SPACE in n.lstrip(_SPACE) for n in names) or max(self.a.get_vocab_size(), len(names)) > 1 << ID_BITS:
-            raise ValueError("pieces with a space inside, or a vocabulary over 2**20, can't be aligned by units")
+        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
+        n_a, n_b = max(vocabulary.values()) + 1, len(names)
+        if any(_SPACE in n.lstrip(_SPACE) for n in names) or max(n_a, n_b) > 1 << ID_BITS:
+            raise ValueError("pieces with a space inside, or a vocabulary over 2**20, can't be aligned")
+        if not {chr(c) for c in _LETTERS.values()} <= vocabulary.keys() or self.a.tokenizer.normalizer:
+            raise ValueError("the first vocabulary does not keep every byte")
         self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.match(n)) else n.replace(_SPACE, " ").encode()
                         for i, n in enumerate(names)]
-        # byte-level letters: one a byte
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in visible]
-        letters = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        letters = {chr(c): b for b, c in _LETTERS.items()}
+        self.a_bytes = [b""] * n_a
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in token)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # a token's id as it is spelled before a comma, and at its group's end on its side
+        self.spelled = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for i in range(n) for end in ends]
+        self.packed = packed_ids(np.arange(n_a, dtype=np.uint64)) << np.uint64(ID_BITS)
         self.lone_space = [self.b.piece_to_id(_SPACE)]
-        self.cache: dict[str, tuple | None] = {}
-        self.pairs = 0
+        self.cache: dict[str, bytes | None] = {}
 
-    def aligned(self, texts: list[str]) -> list[list[str]]:
-        """Units of each text, all known to ``cache`` (None for one that a tokenizer does not give back)."""
-        cuts = [_UNITS.findall(" " + t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_UNITS or self.pairs > CACHE_PAIRS:
+    def b_ids(self, texts: list[str]) -> list[bytes | None]:
+        """B's ids of each text (which is not empty), unsigned 32-bit; None where
+        they don't give its bytes back."""
+        cuts = [[u[1:] for u in _UNITS.findall(" " + t)] if "  " in t or t[0] == " " else t.split(" ") for t in texts]
+        if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-            self.pairs = 0
-        new = list({u for cut in cuts for u in cut} - self.cache.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            ours = self.a.encode_batch(part, add_special_tokens=False)
-            theirs = self.b.encode([u[1:] for u in part], num_threads=1)
-            for u, e, p in zip(part, ours, theirs, strict=True):
-                self.cache[u] = self.unit(u, e.ids, p if len(u) > 1 else self.lone_space)
-        return cuts
-
-    def unit(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(A tokens, B tokens, groups, links, spelled groups, pairs, links a pair), pairs as packed integers."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = text.encode()
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-            return None
-        groups = list(cut_groups(a, [len(x) for x in a_bytes], b, [len(x) for x in b_bytes]))
-        links: Counter = Counter()
-        for left, right in groups:
-            others = Counter(right).items()
-            for x, n in Counter(left).items():
-                high = packed_id(x) << ID_BITS
-                for y, m in others:
-                    links[high | y] += n * m
-        self.pairs += len(links)
-        spelled = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        return (len(a), len(b), len(groups), sum(links.values()), spelled,
-                np.fromiter(links.keys(), np.uint64, len(links)).tobytes(), np.fromiter(links.values(), np.uint64, len(links)).tobytes())
-
-
-def packed_id(a: int) -> int:
-    """An A id with its radix on top, so that packed pairs sort radix-major and, within a radix, side-major."""
-    return (a & (RADIXES - 1)) << (ID_BITS - RADIX_BITS) | a >> RADIX_BITS
-
-
-def cut_groups(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """Runs of A and B tokens between byte offsets where both end."""
-    i = j = from_i = from_j = 0
-    end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += a_sizes[i]
-            i += 1
-        else:
-            end_b += b_sizes[j]
-            j += 1
-        if end_a == end_b:
-            yield a[from_i:i], b[from_j:j]
-            from_i, from_j = i, j
+        new = list(set().union(*cuts) - self.cache.keys())
+        for u, ids in zip(new, self.b.encode(new, num_threads=1), strict=True):
+            ids = ids if u else self.lone_space
+            whole = b"".join([self.b_bytes[i] for i in ids]) == (" " + u).encode()
+            self.cache[u] = array("I", ids).tobytes() if whole else None
+        get = self.cache.__getitem__
+        found = [list(map(get, cut)) for cut in cuts]
+        return [None if None in ids else b"".join(ids) for ids in found]
+
+    def aligned(self, texts: list[str]) -> Aligned:
+        """Tokens, groups and links of a batch of texts."""
+        full = [i for i, t in enumerate(texts) if t]
+        right = dict(zip(full, self.b_ids([texts[i] for i in full]), strict=True))
+        places = [i for i in full if right[i] is not None]
+        left = self.a.ids([" " + texts[i] for i in places])
+        a, b = ([np.frombuffer(x, np.uint32) for x in ids] for ids in (left, [right[i] for i in places]))
+        # B's bytes are the text's; A's tokens keep every byte they read, so equal lengths say that they read all
+        same = [k for k in range(len(places)) if self.a_sizes[a[k]].sum() == self.b_sizes[b[k]].sum()]
+        return Aligned(self, len(texts), [places[k] for k in same], [a[k] for k in same], [b[k] for k in same])
+
+
+class Aligned:
+    """A batch of ``n`` texts; ``places`` are those that have tokens, with their ids ``a`` and ``b``."""
+
+    def __init__(self, of: Aligner, n: int, places: list[int], a: list[np.ndarray], b: list[np.ndarray]):
+        self.of, self.n = of, n
+        counts = np.zeros((2, n), np.int64)
+        counts[0, places], counts[1, places] = [len(x) for x in a], [len(x) for x in b]
+        self.n_a, self.n_b = counts
+        self.a, self.b = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in (a, b))
+        # ends count on through the batch: a text's bytes are the same on both sides
+        ends_a, ends_b = np.cumsum(of.a_sizes[self.a]), np.cumsum(of.b_sizes[self.b])
+        size = int(ends_a[-1]) + 1 if len(ends_a) else 0
+        both = np.zeros(size, np.uint8)
+        both[ends_a] += 1
+        both[ends_b] += 1
+        common = np.flatnonzero(both == 2)
+        self.group_a, self.group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        self.in_a, self.in_b = (np.bincount(g, minlength=len(common)) for g in (self.group_a, self.group_b))
+        last = np.cumsum(self.in_a) - 1  # each group's last A token tells its text
+        self.doc_a = np.repeat(np.arange(n), self.n_a)
+        self.group_doc = self.doc_a[last]
+        self.n_groups = np.bincount(self.group_doc, minlength=n)
+        self.n_links = np.zeros(n, np.int64)
+        np.add.at(self.n_links, self.group_doc, self.in_a * self.in_b)
+
+    def digests(self) -> list[str]:
+        """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of each text; '' without tokens."""
+        import hashlib
+
+        ends_group = [np.append(g[1:] != g[:-1], True) if len(g) else np.empty(0, bool) for g in (self.group_a, self.group_b)]
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        at_a = np.arange(len(self.a)) + (np.cumsum(self.in_b) - self.in_b)[self.group_a]
+        at_b = np.arange(len(self.b)) + np.cumsum(self.in_a)[self.group_b]
+        out[at_a] = 2 * self.a.astype(np.int64) + ends_group[0]
+        out[at_b] = 2 * len(self.of.a_bytes) + 2 * self.b.astype(np.int64) + ends_group[1]
+        found, start, table = [], 0, self.of.spelled.__getitem__
+        for size in (self.n_a + self.n_b).tolist():
+            state = hashlib.sha256()
+            for at in range(start, start + size, 1 << 18):  # a very long text is spelled in parts
+                end = min(at + (1 << 18), start + size)
+                text = "".join(map(table, out[at:end].tolist()))
+                state.update((text[:-1] if end == start + size else text).encode())
+            found.append(state.hexdigest() if size else "")
+            start += size
+        return found
+
+    def links(self, first: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(pair and document, packed; how often, None for once each) of all links,
+        in strips; documents are numbered from ``first``."""
+        sizes = self.in_a * self.in_b
+        start_a, start_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
+        docs = (self.group_doc + first).astype(np.uint64)
+        reach, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + STRIP_LINKS, "right")))
+            a0, a1 = start_a[at], start_a[end - 1] + self.in_a[end - 1]
+            if end == at + 1 and sizes[at] > STRIP_LINKS:  # one group without common ends for long: distinct ids only
+                (x, n), (y, m) = (np.unique(t[s:s + k], return_counts=True) for t, s, k in (
+                    (self.a, start_a[at], self.in_a[at]), (self.b, start_b[at], self.in_b[at])))
+                for i in range(0, len(x), max(1, STRIP_LINKS // len(y))):
+                    part = slice(i, i + max(1, STRIP_LINKS // len(y)))
+                    pairs = self.of.packed[x[part]][:, None] | y[None, :].astype(np.uint64)
+                    yield (pairs << np.uint64(DOC_BITS) | docs[at]).ravel(), (n[part][:, None] * m[None, :]).astype(np.uint64).ravel()
+            else:
+                group = self.group_a[a0:a1]
+                times = self.in_b[group]
+                # each A token beside every B token of its group
+                b = np.arange(times.sum()) + np.repeat(start_b[group] - (np.cumsum(times) - times), times)
+                pairs = np.repeat(self.of.packed[self.a[a0:a1]], times) | self.b[b].astype(np.uint64)
+                yield pairs << np.uint64(DOC_BITS) | np.repeat(docs[group], times), None
+            at = end
+
+
+def packed_ids(a: np.ndarray) -> np.ndarray:
+    """A ids with their radix on top, so that packed pairs sort radix-major and, within a radix, side-major."""
+    return (a & np.uint64(RADIXES - 1)) << np.uint64(ID_BITS - RADIX_BITS) | a >> np.uint64(RADIX_BITS)
 
 
 def aligner(byte_level: str, pieces: str) -> Aligner:
@@ -201,50 +261,43 @@ def heads_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Run:
-    """Records of the documents read so far, spilled as one file."""
+    """Links of the documents read so far, spilled as one file."""
 
     def __init__(self):
         self.docs: list[tuple] = []
-        self.units: list[tuple] = []
-        self.counts: list[int] = []
-        self.ends: list[int] = []
-        self.records = 0
-
-    def add(self, doc_id: int | None, units: list[str], cache: dict) -> None:
-        import hashlib
-
-        n_a = n_b = n_groups = n_links = 0
-        spelled = ""
-        found = Counter(units)
-        entries = [cache[u] for u in found]
-        if entries and None not in entries:
-            for e, n in zip(entries, found.values(), strict=True):
-                n_a += n * e[0]
-                n_b += n * e[1]
-                n_groups += n * e[2]
-                n_links += n * e[3]
-                self.records += len(e[5]) >> 3
-            digest = hashlib.sha256()
-            for at in range(0, len(units), 4096):  # a very long text is hashed in parts
-                digest.update(((";" if at else "") + ";".join([cache[u][4] for u in units[at:at + 4096]])).encode())
-            spelled = digest.hexdigest()
-            self.units += entries
-            self.counts += found.values()
-        self.ends.append(len(self.units))
-        self.docs.append((doc_id, n_a, n_b, n_groups, n_links, spelled))
+        self.once: list[np.ndarray] = []
+        self.many: list[tuple[np.ndarray, np.ndarray]] = []
+        self.links = 0
+
+    def add(self, doc_ids: list[int | None], batch: Aligned) -> None:
+        for packed, times in batch.links(len(self.docs)):
+            self.links += len(packed)
+            if times is None:
+                self.once.append(packed)
+            else:
+                self.many.append((packed, times))
+        self.docs += zip(doc_ids, *[x.tolist() for x in (batch.n_a, batch.n_b, batch.n_groups, batch.n_links)], batch.digests(), strict=True)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pair and document, its links), ascending, once each."""
+        sort = np.concatenate(self.once) if self.once else np.empty(0, np.uint64)
+        self.once = []
+        sort.sort()
+        first = np.flatnonzero(np.diff(sort, prepend=sort[:1] ^ np.uint64(1)))
+        links, sort = np.diff(first, append=len(sort)).astype(np.uint64), sort[first]
+        if self.many:
+            sort, links = np.concatenate([sort, *[x[0] for x in self.many]]), np.concatenate([links, *[x[1] for x in self.many]])
+            order = np.argsort(sort, kind="stable")
+            sort, links = sort[order], links[order]
+            first = np.flatnonzero(np.diff(sort, prepend=sort[:1] ^ np.uint64(1)))
+            sort, links = sort[first], np.add.reduceat(links, first)
+        return sort, links
 
     def spill(self, folder: str) -> tuple:
         """Sorts and writes the run; returns its row of ``RUNS``."""
         import pyarrow as pa
 
-        sizes = np.fromiter((len(u[5]) >> 3 for u in self.units), np.int64, len(self.units))
-        of_doc = np.repeat(np.arange(len(self.ends), dtype=np.uint64), np.diff(self.ends, prepend=0))
-        sort = np.frombuffer(b"".join([u[5] for u in self.units]), np.uint64) << np.uint64(DOC_BITS) | np.repeat(of_doc, sizes)
-        links = np.frombuffer(b"".join([u[6] for u in self.units]), np.uint64) * np.repeat(np.array(self.counts, np.uint64), sizes)
-        order = np.argsort(sort)
-        sort, links = sort[order], links[order]
-        first = np.flatnonzero(np.diff(sort, prepend=sort[:1] ^ np.uint64(1)))  # units of one document share pairs
-        sort, links = sort[first], np.add.reduceat(links, first) if len(first) else links
+        sort, links = self.counted()
         pairs = sort >> np.uint64(DOC_BITS)
         docs = (sort & np.uint64((1 << DOC_BITS) - 1)).astype(np.uint32)
         heads = np.flatnonzero(np.diff(pairs, prepend=pairs[:1] ^ np.uint64(1)))
@@ -269,7 +322,7 @@ class Run:
         return files.uri, len(self.docs), docs_at, heads_at, bodies_at
 
 
-def spilled(docs: DataFrame, byte_level: str, pieces: str, folder: str, run_records: int) -> DataFrame:
+def spilled(docs: DataFrame, byte_level: str, pieces: str, folder: str, run_links: int) -> DataFrame:
     """A row a run that the tasks wrote to ``folder``."""
     def make(batches) -> Iterator:
         import pyarrow as pa
@@ -279,14 +332,17 @@ def spilled(docs: DataFrame, byte_level: str, pieces: str, folder: str, run_reco
             [dict(zip(("path", "n_docs", "docs_at", "heads_at", "bodies_at"), run.spill(folder), strict=True))])
         run = Run()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                for doc_id, units in zip(part.column(0).to_pylist(), align.aligned(texts), strict=True):
-                    run.add(doc_id, units, align.cache)
-                    if run.records >= run_records or len(run.docs) >= RUN_DOCUMENTS:
-                        yield row(run)
-                        run = Run()
+            at = 0
+            while at < batch.num_rows:
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and len(texts) < BATCH and size < BATCH_CHARS:
+                    texts.append(batch.column(1)[at + len(texts)].as_py())
+                    size += len(texts[-1])
+                run.add(batch.column(0).slice(at, len(texts)).to_pylist(), align.aligned(texts))
+                at += len(texts)
+                if run.links >= run_links or len(run.docs) >= RUN_DOCUMENTS:
+                    yield row(run)
+                    run = Run()
         if run.docs:
             yield row(run)
 
@@ -351,13 +407,13 @@ def merge_level(frames: DataFrame, groups: int, folder: str) -> DataFrame:
     return dealt.repartition(min(RADIXES * groups, 20_000), "radix", "grp").mapInArrow(merge, MERGED)
 
 
-def token_alignment(docs: DataFrame, byte_level: str, pieces: str, run_records: int = RUN_RECORDS, fan: int = FAN) -> DataFrame:
+def token_alignment(docs: DataFrame, byte_level: str, pieces: str, run_links: int = RUN_LINKS, fan: int = FAN) -> DataFrame:
     """A row a document: ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256``
     (of ``a1,a2|b1;a3|b2,b3``), ``n_best`` (links whose pair has the highest count
     of its A id) and ``count_sum`` (over links).  ``byte_level`` and ``pieces`` are
     paths that every executor can read."""
     folder = shared_folder(docs.sparkSession, "alignment")
-    runs = written(spilled(docs, byte_level, pieces, f"{folder}/runs", run_records), folder, "index")
+    runs = written(spilled(docs, byte_level, pieces, f"{folder}/runs", run_links), folder, "index")
     n_runs = runs.count()
     ends = F.arrays_zip(F.slice("heads_at", 1, RADIXES).alias("at"), F.slice("heads_at", 2, RADIXES).alias("end"))
     level = runs.select("path", F.posexplode(ends).alias("radix", "x")).select(

@@ -83,19 +83,36 @@ def test_token_alignment(spark, nasty, nasty_rows, empty):
     odd = spark.createDataFrame([(i, t, "o") for i, t in ODD], "doc_id long, text string, source string")
     docs = nasty.select("doc_id", "text", "source", "key").unionByName(odd.withColumn("key", F.lit("")))
     expected = plain_alignment([*nasty_rows, *ODD])
-    for options in ({}, {"run_records": 300, "fan": 2}):  # many runs, merged in many levels
+    for options in ({}, {"run_links": 300, "fan": 2}):  # many runs, merged in many levels
         got = token_alignment(docs, BYTE_BPE, PIECES, **options).collect()
         assert Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum) for r in got) == expected
     assert token_alignment(empty, BYTE_BPE, PIECES).count() == 0
 
 
+def test_links_of_large_groups(monkeypatch):
+    """Strips and the path for one large group give the links of the plain product."""
+    from phenospark.llm import alignment
+
+    align = alignment.aligner(BYTE_BPE, PIECES)
+    texts = ["", "漢字かな交じり文 " * 5, "plain words here", "aaaaaaaaaaaaaaaaaaaaaaaaaaab", "the the the"]
+    want = None
+    for strip in (2_000_000, 40, 3, 1):
+        monkeypatch.setattr(alignment, "STRIP_LINKS", strip)
+        run = alignment.Run()
+        run.add(list(range(len(texts))), align.aligned(texts))
+        got = dict(zip(*[x.tolist() for x in run.counted()], strict=True))
+        want = want or got
+        assert got == want and sum(got.values()) == sum(d[4] for d in run.docs)
+
+
 def test_merge_counts_and_maxima():
     import numpy as np
 
-    from phenospark.llm.alignment import ID_BITS, merged_heads, packed_id, with_maxima
+    from phenospark.llm.alignment import ID_BITS, merged_heads, packed_ids, with_maxima
 
     rnd = random.Random(4)
-    runs = [Counter(packed_id(rnd.randrange(100)) << ID_BITS | rnd.randrange(5) for _ in range(400)) for _ in range(7)]
+    packed = lambda a: int(packed_ids(np.uint64(a)))
+    runs = [Counter(packed(rnd.randrange(100)) << ID_BITS | rnd.randrange(5) for _ in range(400)) for _ in range(7)]
     frames = [np.array(sorted(r), np.uint64).tobytes() + np.array([r[k] for k in sorted(r)], np.uint64).tobytes() for r in runs]
     total = sum(runs, Counter())
     pairs, counts, best = with_maxima(merged_heads(frames))
