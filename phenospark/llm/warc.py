@@ -34,6 +34,12 @@ from phenospark.llm.common import file_system, shared_folder, written
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
+#: Extension field with the length of the full payload; archive readers skip fields they don't know.
+LENGTH_FIELD = "X-Payload-Length"
+
+#: Decompressed bytes that a task reads back.
+TASK_BYTES = 16 << 20
+
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
@@ -41,28 +47,31 @@ RECORD = "page_id long, url string, record_type string, payload_digest string, p
 def roles(pages: DataFrame, least_bytes: int) -> DataFrame:
     """``page_id, url, payload, digest, n_bytes, refers_to`` (null: a response).
 
-    Copies are found on digests alone, counted before they are shuffled; the
-    table joined back has a row for each payload that occurs more than once."""
+    Copies are found on digests alone, counted before they are shuffled.  What a
+    page refers to goes back by its own id, so a payload with any number of copies
+    is never the key that payloads are dealt by."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keyed = base.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes"),
                         F.xxhash64("payload").alias("hash"))
-    same = keyed.select("page_id", "digest", "n_bytes", "hash").filter(F.col("n_bytes") >= least_bytes) \
-        .groupBy("digest", "n_bytes", "hash").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("response")) \
-        .filter("copies > 1").drop("copies")
-    return keyed.join(same, ["digest", "n_bytes", "hash"], "left").select(
-        "page_id", "url", "payload", "digest", "n_bytes",
-        F.when(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))) < F.col("response"), F.col("response")).alias("refers_to"))
-
-
-def to_record(page_id, url, payload: bytes, digest: str, n_bytes: int, refers_to) -> bytes:
-    """One WARC record.  A revisit has no block; its digest and full length are in the header."""
+    content = ["digest", "n_bytes", "hash"]
+    bare = keyed.select("page_id", *content).filter(F.col("n_bytes") >= least_bytes)
+    same = bare.groupBy(*content).agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("refers_to")).filter("copies > 1").drop("copies")
+    later = bare.join(same, content).filter(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))) < F.col("refers_to")) \
+        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("hash").alias("h"), "refers_to").distinct()
+    return keyed.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.col("hash") == F.col("h")), "left") \
+        .select("page_id", "url", "payload", "digest", "n_bytes", "refers_to")
+
+
+def to_record(date: str, page_id, url, payload: bytes, digest: str, n_bytes: int, refers_to) -> bytes:
+    """One WARC record.  A revisit has no block; its digest is in the header, and its
+    full length in an extension field."""
     clean = "".join(c for c in url or "" if c not in "\r\n")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Date: {date}",
             f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {clean}",
-            f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {n_bytes}"]
+            f"WARC-Payload-Digest: sha1:{digest}", f"{LENGTH_FIELD}: {n_bytes}"]
     if url is None:
-        del head[3]
+        del head[4]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = payload if refers_to is None else b""
@@ -105,8 +114,13 @@ def read_seek_table(stream, size: int) -> list[tuple[int, int, int]]:
 
 
 def write_bundles(pages: DataFrame, folder: str, least_bytes: int, frame_bytes: int = 1 << 18,
-                  bundle_bytes: int = 1 << 28, level: int = 3) -> DataFrame:
-    """Write all pages; returns the index (a row a record)."""
+                  bundle_bytes: int = 1 << 28, level: int = 3, date: str | None = None) -> DataFrame:
+    """Write all pages; returns the index (a row a record).  ``date`` (default: the
+    time of the call) is the records' ``WARC-Date``."""
+    from datetime import UTC, datetime
+
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def write(batches) -> Iterator:
         import uuid
 
@@ -140,7 +154,7 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int, frame_bytes:
                         store, path = file_system(name)
                         store.create_dir(path.rpartition("/")[0], recursive=True)
                         out, frames, size = store.open_output_stream(path, compression=None), [], 0
-                    record = to_record(*row)
+                    record = to_record(date, *row)
                     index.append((row[0], name, len(frames), n, len(record)))
                     held.append(record)
                     n += len(record)
@@ -160,20 +174,14 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int, frame_bytes:
     return written(roles(pages, least_bytes).mapInArrow(write, INDEX), folder, "index")
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
-    """All records of the bundles named in the index, frame by frame: frames are
-    dealt to tasks, whatever bundle they lie in."""
-    def tables(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for bundle in batch.column(0).to_pylist():
-                store, path = file_system(bundle)
-                with store.open_input_file(path) as f:
-                    rows = [(bundle, *x) for x in read_seek_table(f, f.size())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["bundle", "start", "packed", "plain"])
+def read_bundles(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """All records of the index, each by its place: frames are dealt to as many tasks
+    as their bytes ask for, neighbours together; a task reads a bundle's seek table
+    once and from there its frames, and takes each record at its offset."""
+    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "page_id"))).alias("records"),
+                                                  F.sum("length").alias("plain"))  # records of one frame: bounded by its size
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
 
     def read(batches) -> Iterator:
         import hashlib
@@ -185,27 +193,36 @@ def read_bundles(index: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
         number = lambda x: int(x[10:-1]) if x and len(x) > 11 else None  # noqa: E731  <urn:page:N>
+        opened, table, f = None, [], None
         for batch in batches:
-            for bundle, start, packed, plain in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, path = file_system(bundle)
-                with store.open_input_file(path) as f:
-                    f.seek(start)
-                    data = unpacker.decompress(f.read(packed), max_output_size=plain)
-                rows, at = [], 0
-                while at < len(data):
-                    h, block, at = from_record(data, at)
-                    digest, n = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["WARC-Payload-Length"])
+            for a in range(batch.num_rows):
+                bundle, frame, records = (batch.column(i)[a].as_py() for i in range(3))
+                if bundle != opened:
+                    if f:
+                        f.close()
+                    store, path = file_system(bundle)
+                    f, opened = store.open_input_file(path), bundle
+                    table = read_seek_table(f, f.size())
+                start, packed, plain = table[frame]
+                f.seek(start)
+                data = unpacker.decompress(f.read(packed), max_output_size=plain)
+                rows = []
+                for r in records:
+                    h, block, end = from_record(data, r["offset"])
+                    digest, n = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h[LENGTH_FIELD])
                     full = h["WARC-Type"] == "response"
+                    page_id = number(h["WARC-Record-ID"])
                     if full and (len(block) != n or hashlib.sha1(block).hexdigest() != digest):
                         raise ValueError("damaged payload")
-                    rows.append((number(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), h["WARC-Type"], digest, n,
-                                 number(h.get("WARC-Refers-To")), block if full else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    bundles = index.select("bundle").distinct()
-    frames = bundles.repartition("bundle").mapInArrow(tables, "bundle string, start long, packed long, plain long")
-    return frames.repartition("bundle", "start").mapInArrow(read, RECORD)
+                    if page_id != r["page_id"] or end - r["offset"] != r["length"]:
+                        raise ValueError("the index names another record")
+                    rows.append((page_id, h.get("WARC-Target-URI"), h["WARC-Type"], digest, n, number(h.get("WARC-Refers-To")), block if full else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        if f:
+            f.close()
+
+    dealt = frames.repartitionByRange(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame")
+    return dealt.select("bundle", "frame", "records").mapInArrow(read, RECORD)
 
 
 def read_record(bundle: str, frame: int, offset: int) -> tuple[dict, bytes]:
