@@ -163,25 +163,25 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spelled("spans"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
-def _op8_kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
-    """Spans of one kind: text between the matches and the matches, in a row."""
+def _op8_kind(rank: int, kind: str, pattern: str, measured: str, least: int, hint: str) -> str:
+    """Spans of one kind: the text between the matches and the matches, in a row,
+    over the documents that can have a span at all."""
     p = pattern.replace("'", "''")
     return f"""
-SELECT doc_id, {rank} AS rank, '{kind}' AS kind,
-       (list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda x: length(x))), 0))::BIGINT AS s,
-       length(hits[i]) AS len
-FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS hits,
-             regexp_extract_all(text, '{p}', {group}) AS sized,
-             unnest(range(1, len(regexp_extract_all(text, '{p}', 0)) + 1)) AS i
-      FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
-WHERE length(sized[i]) >= {least}"""
+SELECT doc_id, {rank} AS rank, '{kind}' AS kind, e - length(hit) AS s, length(hit) AS len
+FROM (SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY n ORDER BY i)::BIGINT AS e
+      FROM (SELECT doc_id, n, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i
+            FROM (SELECT doc_id, n, regexp_extract_all(text, '{p}', 0) AS hits, string_split_regex(text, '{p}') AS gaps
+                  FROM (SELECT doc_id, row_number() OVER () AS n, text FROM documents WHERE regexp_matches(text, '{hint.replace("'", "''")}')))))
+WHERE length({measured.replace("$p", "'" + p + "'")}) >= {least}"""
 
 
+_ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 OP8 = f"""
 WITH found AS ({' UNION ALL '.join([
-    _op8_kind(0, "assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
-    _op8_kind(1, "access", "AKIA[A-Z0-9]+", 0, 18),
-    _op8_kind(2, "hex", "[0-9a-f]+", 0, 16)])}),
+    _op8_kind(0, "assign", _ASSIGN, "regexp_extract(hit, $p, 1)", 12, _ASSIGN),
+    _op8_kind(1, "access", "AKIA[A-Z0-9]+", "hit", 18, "AKIA[A-Z0-9]{14}"),
+    _op8_kind(2, "hex", "[0-9a-f]+", "hit", 16, "[0-9a-f]{16}")])}),
      listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
                        count(*) FILTER (kind = 'hex') AS n_hex,
                        string_agg(kind || ':' || s || ':' || (s + len), ',' ORDER BY s, rank) AS spans

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from phenospark.llm.common import shared_folder
+from phenospark.llm.common import shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -77,26 +77,38 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.hint), all_spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _ledger(spark, folder: str) -> DataFrame:
+    schema = f"kind string, version int, blob string, spans array<{SPAN}>"
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` has ``text`` and columns that name the path and version.
     Brings the ledger up to date and returns the columns with ``blob`` and
-    ``spans`` (sorted by start, then kind as listed) instead of ``text``."""
+    ``spans`` (sorted by start, then kind as listed) instead of ``text``.
+
+    What is due is known from hashes; only texts of due blobs are fetched, a copy
+    each.  A pair that the ledger holds twice (two scans at once, or an append that
+    ran again) counts once."""
     spark = versions.sparkSession
     names = [c for c in versions.columns if c != "text"]
+    scratch = shared_folder(spark, "scan")
     addressed = versions.select(F.struct(*names).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
         .withColumn("blob", F.sha2("text", 256))
-    blobs = addressed.select("blob", "text").distinct()
-    ledger_schema = f"kind string, version int, blob string, spans array<{SPAN}>"
-    try:
-        known = spark.read.schema(ledger_schema).parquet(ledger)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = spark.createDataFrame([], ledger_schema)
-    seen = known.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
-    due = blobs.join(seen, "blob", "left")
-    lacks = lambda r: F.coalesce(~F.array_contains("done", f"{r.kind}:{r.version}"), F.lit(True))
-    results = due.select("blob", F.explode(F.filter(F.array(*[
+    seen = _ledger(spark, ledger).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
+    names_of_rules = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    lacking = F.array_except(names_of_rules, F.coalesce("done", F.array().cast("array<string>")))
+    due = written(addressed.select("blob").distinct().join(seen, "blob", "left").select("blob", lacking.alias("lacking"))
+                  .filter(F.size("lacking") > 0), scratch, "due")
+    lacks = lambda r: F.array_contains("lacking", f"{r.kind}:{r.version}")
+    # the blobs are few hashes beside the texts: they meet first, then copies of one blob meet in the task that reads them
+    texts = addressed.select("blob", "text").join(due, "blob").distinct()
+    results = texts.select("blob", F.explode(F.filter(F.array(*[
         F.when(lacks(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"),
                                   spans(F.col("text"), r, i).alias("spans")))
         for i, r in enumerate(rules)]), lambda x: x.isNotNull())).alias("x"))
@@ -105,9 +117,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    # only findings are joined back; one row a blob with any, however many paths it has
-    found = spark.read.schema(ledger_schema).parquet(ledger).filter(current & (F.size("spans") > 0)) \
-        .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # only findings are joined back, a row a blob with any, however many paths it has; written, so that a hot blob's paths can be split
+    found = written(_ledger(spark, ledger).filter(current & (F.size("spans") > 0)).groupBy("blob")
+                    .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")), scratch, "found")
     return addressed.select("path", "blob").join(found, "blob", "left").select(
         "path.*", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
@@ -118,5 +130,10 @@ def spelled(spans_column: str | Column) -> Column:
 
 
 def scanned_documents(docs: DataFrame) -> DataFrame:
-    """All documents against a ledger of their own run."""
-    return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shared_folder(docs.sparkSession, "ledger"))
+    """All documents, in two versions against one ledger of this run: as they were
+    before their last line came, and as they are.  The second scan reads the
+    findings of texts that did not change from the ledger.  Returns the second."""
+    ledger = shared_folder(docs.sparkSession, "ledger")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    scan(rows.withColumn("text", F.regexp_replace("text", r"(?s)\n[^\n]*\z", "")), ledger)
+    return scan(rows, ledger)
