@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A character of a word (phenospark.llm.common.WORD, before lower-casing).
+A_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 
 
 def line_hash(line: Column) -> Column:
@@ -51,18 +53,19 @@ def _document_key() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
 
 
-def chunks(docs: DataFrame, window: int, divisor: int, least_lines: int) -> DataFrame:
-    """A row a chunk of at least ``least_lines`` lines."""
+def chunks(docs: DataFrame, window: int, divisor: int, least_lines: int, worded: bool) -> DataFrame:
+    """A row a chunk of at least ``least_lines`` lines (``worded``: lines with words)."""
     lines = docs.filter(F.col("text").isNotNull()).select(*_document_key(), F.split("text", "\n", -1).alias("lines"),
                                                          F.explode(chunk_places(F.col("text"), window, divisor)).alias("c"))
-    chosen = lines.filter(F.col("c.end") - F.col("c.start") >= least_lines)
-    return chosen.select("key_id", "key_a", "key_b", F.col("c.start").alias("start"), F.col("c.end").alias("end"),
-                         F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")), "\n").alias("chunk"))
+    own = F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
+    counted = F.size(F.filter(own, lambda x: x.rlike(A_WORD))) if worded else F.col("c.end") - F.col("c.start")
+    return lines.filter(counted >= least_lines).select("key_id", "key_a", "key_b", F.col("c.start").alias("start"), F.col("c.end").alias("end"),
+                                                       F.array_join(own, "\n").alias("chunk"))
 
 
-def removals(docs: DataFrame, window: int, divisor: int, least_lines: int) -> DataFrame:
+def removals(docs: DataFrame, window: int, divisor: int, least_lines: int, worded: bool) -> DataFrame:
     """Per document with any: ``gone``, the (start, end) lines that go, in order."""
-    found = chunks(docs, window, divisor, least_lines).withColumns(
+    found = chunks(docs, window, divisor, least_lines, worded).withColumns(
         {"h": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(1), "chunk")})
     place = F.struct(F.col("key_id").isNull().alias("no_id"), "key_id", "key_a", "key_b", "start")
     # byte comparison: the chunk itself is a key; repeated rows of a document are one occurrence
@@ -75,11 +78,12 @@ def removals(docs: DataFrame, window: int, divisor: int, least_lines: int) -> Da
         .agg(F.array_sort(F.collect_list(F.struct("place.start", "end"))).alias("gone"))
 
 
-def without_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, least_lines: int = 2) -> DataFrame:
-    """``docs`` with the repeated chunks removed from ``text``, and ``chunks_removed``."""
+def without_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, least_lines: int = 2, worded: bool = False) -> DataFrame:
+    """``docs`` with the repeated chunks removed from ``text``, and ``chunks_removed``.
+    ``worded``: only lines with a word count towards ``least_lines``, so that blank lines alone are no chunk."""
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"), "doc_id") \
         .select("doc", "text", *_document_key())
-    gone = removals(docs, window, divisor, least_lines).alias("g")
+    gone = removals(docs, window, divisor, least_lines, worded).alias("g")
     same = F.col("d.key_id").eqNullSafe(F.col("g.key_id")) & (F.col("d.key_a") == F.col("g.key_a")) & (F.col("d.key_b") == F.col("g.key_b"))
     lines = F.split("text", "\n", -1)
     starts = F.concat(F.array(F.lit(0)), F.col("gone.end"))
@@ -92,34 +96,41 @@ def without_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3,
 
 
 def later_pairs(docs: DataFrame) -> DataFrame:
-    """Per document with any: ``gone``, in order, the line numbers at which two lines
-    stand that stand in a row at an earlier place too (smallest ``doc_id``, then place)."""
-    lines = docs.filter(F.col("text").isNotNull()).select(*_document_key(), F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") > 1)
+    """Per document with any: ``gone``, in order, the (first, last) line numbers of two
+    lines with words that follow each other at an earlier place too (smallest
+    ``doc_id``, then place).  Lines without a word between them belong to the pair, but
+    make none of their own: a paragraph break is no passage."""
+    lines = docs.filter(F.col("text").isNotNull()).select(*_document_key(), F.split("text", "\n", -1).alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    worded = lines.select("key_id", "key_a", "key_b", F.filter(numbered, lambda x: x["line"].rlike(A_WORD)).alias("w")).filter(F.size("w") > 1)
     digest = lambda a, b: F.unhex(F.sha2(F.concat(a, F.lit("\n"), b).cast("binary"), 256))
-    count = F.size("lines") - 1
-    pairs = lines.select("key_id", "key_a", "key_b", F.posexplode(F.zip_with(F.slice("lines", 1, count), F.slice("lines", 2, count), digest))
-                         .alias("start", "h"))
-    found = pairs.select("h", F.struct(F.col("key_id").isNull().alias("no_id"), "key_id", "key_a", "key_b", "start").alias("place"))
+    pair = lambda a, b: F.struct(a["at"].alias("start"), b["at"].alias("stop"), digest(a["line"], b["line"]).alias("h"))
+    count = F.size("w") - 1
+    pairs = worded.select("key_id", "key_a", "key_b", F.explode(F.zip_with(F.slice("w", 1, count), F.slice("w", 2, count), pair)).alias("p"))
+    found = pairs.select("p.h", F.struct(F.col("key_id").isNull().alias("no_id"), "key_id", "key_a", "key_b", "p.start", "p.stop").alias("place"))
     firsts = found.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")) \
         .filter(F.col("first") != F.col("last")).select("h", "first")
     # of equal lines in a row the second pair shares a line with the first: that line is the first's
-    beside = F.col("first").withField("start", F.col("first.start") + 1)
-    later = found.join(firsts, "h").filter((F.col("place") != F.col("first")) & (F.col("place") != beside))
-    return later.groupBy("place.key_id", "place.key_a", "place.key_b").agg(F.array_sort(F.collect_list("place.start")).alias("gone"))
+    own = F.col("place").dropFields("start", "stop") == F.col("first").dropFields("start", "stop")
+    beside = F.coalesce(own, F.lit(False)) & (F.col("place.start") == F.col("first.stop"))
+    later = found.join(firsts, "h").filter((F.col("place") != F.col("first")) & ~beside)
+    return later.groupBy("place.key_id", "place.key_a", "place.key_b") \
+        .agg(F.array_sort(F.collect_list(F.struct("place.start", "place.stop"))).alias("gone"))
 
 
 def without_repeated_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines of passages of two lines or more that occur at an
     earlier place, wherever chunks would end.  Every distinct line stays where it
-    occurs first.  Defined cases as for chunks."""
+    occurs first, and lines without words stay outside passages.  Defined cases as
+    for chunks."""
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"), "doc_id") \
         .select("doc", "text", *_document_key())
     gone = later_pairs(keyed.select(F.col("key_id").alias("doc_id"), "text")).alias("g")
     same = F.col("d.key_id").eqNullSafe(F.col("g.key_id")) & (F.col("d.key_a") == F.col("g.key_a")) & (F.col("d.key_b") == F.col("g.key_b"))
 
     def kept(lines: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x + 2))
-        stops = F.concat(F.col("gone"), F.array(F.size(lines)))
+        starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x["stop"] + 1))
+        stops = F.concat(F.transform("gone", lambda x: x["start"]), F.array(F.size(lines)))
         return F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
 
     # a one-element array holds the lines, which are used more than once

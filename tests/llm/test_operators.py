@@ -138,6 +138,11 @@ def test_warc(spark, empty):
     for r in index.collect():
         fields, block = read_record(r.bundle, r.frame, r.offset)
         assert fields["WARC-Record-ID"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>"
+        assert fields["WARC-Date"].endswith("Z")
+    # tasks follow the bytes of the frames
+    size = index.agg(F.sum("length")).first()[0]
+    tasks = lambda n: read_bundles(index, task_bytes=n).rdd.getNumPartitions()
+    assert tasks(size) == 1 and 4 <= tasks(size // 8) <= 9
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_bundles(write_bundles(none, shared_folder(spark, "w"), 1000)).count() == 0
 
@@ -323,6 +328,14 @@ def test_secret_ledger(spark, nasty_rows, empty):
     again = scan(spark.createDataFrame(more, schema), ledger)
     assert {r.path: r.s for r in again.select("path", spelled("spans").alias("s")).collect()} == {p: spans(t) for p, _, t in more}
     assert spark.read.parquet(ledger).count() == n + 3
+    # an append that ran twice doubles no finding
+    held = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(held, spark.read.parquet(ledger).schema).write.mode("append").parquet(ledger)
+    twice = scan(spark.createDataFrame(more, schema), ledger)
+    assert {r.path: r.s for r in twice.select("path", spelled("spans").alias("s")).collect()} == {p: spans(t) for p, _, t in more}
+    assert spark.read.parquet(ledger).count() == 2 * (n + 3)
+    ledger = shared_folder(spark, "ledger")
+    spark.createDataFrame(held, "kind string, version int, blob string, spans array<struct<start:int,rank:int,kind:string,end:int>>").write.parquet(ledger)
     # a new version of one rule rescans every blob by that rule alone
     newer = (*RULES[:2], Rule("hex", 2, "[0-9a-f]+", 0, 20))
     scan(spark.createDataFrame(more, schema), ledger, newer)

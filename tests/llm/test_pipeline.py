@@ -1,5 +1,6 @@
 """The stages of the pipeline, each on its own input."""
 
+import itertools
 from collections import Counter
 
 import corpus_pipeline
@@ -60,6 +61,12 @@ def test_emptied_copies_leave_one_row(spark, tmp_path):
     assert got == {10, 11, 12, 3, 5, *range(30, 40)}
 
 
+def test_paragraph_breaks_stay(spark, tmp_path):
+    rows = [(i, f"first para of {i}\n\n\nsecond para of {i}\n\n\n\n* * *\n\nthird para of {i}\n\n") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == dict(rows)
+
+
 def test_repeated_passages_go(spark, nasty, nasty_rows, empty, tmp_path):
     """Planted passages of 2 to 15 lines between differing lines: all of the second
     occurrence goes, the first stays; and all rows against brute force."""
@@ -75,19 +82,19 @@ def test_repeated_passages_go(spark, nasty, nasty_rows, empty, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == want
 
-    more = [(200, "a\na\na\na\na", "s"), (201, "x\ny\nx\ny\nx", "s"), (202, "y\nx", "s"), (203, "p\n\n", "s"), (None, "q\n\n\n", "s")]
+    worded = lambda t: [(k, x) for k, x in enumerate(t.split("\n")) if words_of(x)]
+    more = [(210, "one\n\n\ntwo\n\nthree", "s"), (211, "zero\none\n--\ntwo\nfour", "s"), (200, "a\na\na\na\na", "s"), (201, "x\ny\nx\ny\nx", "s"), (202, "y\nx", "s"), (203, "p\n\n", "s"), (None, "q\n\n\n", "s")]
     documents = sorted({(i is None, i or 0, t) for i, t, _ in nasty_rows + more if t is not None})
     first, result = {}, {}
     for d in documents:
-        lines = d[2].split("\n")
-        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+        for k, pair in enumerate(itertools.pairwise(x for _, x in worded(d[2]))):
             first.setdefault(pair, (d, k))
     for d in documents:
-        lines, gone = d[2].split("\n"), set()
-        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
-            if first[pair] not in ((d, k), (d, k - 1)):
-                gone |= {k, k + 1}
-        result[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        lines, gone = worded(d[2]), set()
+        for k, ((a, x), (b, y)) in enumerate(itertools.pairwise(lines)):
+            if first[x, y] not in ((d, k), (d, k - 1)):
+                gone |= set(range(a, b + 1))
+        result[d] = "\n".join(x for k, x in enumerate(d[2].split("\n")) if k not in gone)
     expected = Counter((i, None if t is None else result[i is None, i or 0, t]) for i, t, _ in nasty_rows + more)
     table = nasty.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string"))
     got = without_repeated_passages(table)
