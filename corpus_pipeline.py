@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 from phenospark.llm.common import shared_folder, written
 from phenospark.llm.decontaminate import contamination
 from phenospark.llm.jaccard import jaccard_links
-from phenospark.llm.linechunks import without_repeated_chunks, without_repeated_passages
+from phenospark.llm.linechunks import A_WORD, without_repeated_chunks, without_repeated_passages
 from phenospark.llm.queries import TOXIC_FROM, packed, toxicity_of
 
-#: A character of a word (phenospark.llm.common.WORD, before lower-casing).
-A_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
-
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` that aren't in ``gone`` (``doc_id``, ``key``: a hash of the
@@ -36,9 +33,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, wherever chunks would end, then the chunks of what is left
-    (chunks first would leave single lines of a passage, which nothing judges)."""
+    (chunks first would leave single lines of a passage, which nothing judges).  Lines
+    without a word are no passage: paragraph breaks stay."""
     whole = written(without_repeated_passages(docs), shared_folder(spark, "line_dedup"), "passages")
-    cut = without_repeated_chunks(whole).select(*docs.columns)
+    cut = without_repeated_chunks(whole, worded=True).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
