@@ -12,7 +12,7 @@ rule stand in for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenospark.functions import text as TX
@@ -283,6 +283,12 @@ def plain_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^([^(]*)\(", "$1"), r"^([^)]*)\)", "$1")
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: a one-element array holds it.
+    (Named columns would be inlined wherever they are used, again and again.)"""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def label_expr(key: Column, group: Column, name: Column) -> Column:
     """``<key>[ <name>] - <group>``: the name is appended unless one contains
     the other; a two-word key ending in the name puts the name first; the
@@ -291,21 +297,26 @@ def label_expr(key: Column, group: Column, name: Column) -> Column:
     A name of several words counts as its last telling word while the key is
     ordered ("asthma Type diabetes" -> "Type diabetes asthma"); such keys are
     in lower case but for the name."""
-    name = plain_name(name)
-    fk, fn = TX.full_clean(key), TX.full_clean(name)
-    appended = F.when(F.contains(fk, fn) | F.contains(fn, fk), key).otherwise(F.concat(key, F.lit(" "), name))
-    telling = F.filter(F.split(name, " "), lambda w: ~TX.ignored(TX.clean_word(w)))
-    short = F.when((F.size(F.split(name, " ")) > 1) & (appended != name) & F.contains(appended, name),
-                   F.try_element_at(telling, F.lit(-1)))
-    ordered = F.when(short.isNotNull(), _replace_first(appended, name, short)).otherwise(appended)
-    ws = F.split(ordered, " ")
-    first, second = F.lower(_at(ws, 1)), F.lower(_at(ws, 2))
-    turns = (second == F.lower(F.coalesce(short, name))) | F.coalesce(first == F.lower(short), F.lit(False))
-    swapped = F.when((F.size(ws) == 2) & turns & ~first.rlike(TX.ADJECTIVE_SUFFIX),
-                     F.concat(second, F.lit(" "), first)).otherwise(ordered)
-    full = F.when(short.isNotNull(), _replace_first(F.lower(swapped), F.lower(short), name)).otherwise(swapped)
-    cap = F.concat(F.upper(F.substring(full, 1, 1)), F.substr(full, F.lit(2)))
-    return F.concat(F.when(key == name, key).otherwise(cap), F.lit(" - "), group)
+    def with_name(name: Column) -> Column:
+        fk, fn = TX.full_clean(key), TX.full_clean(name)
+        appended = F.when(F.contains(fk, fn) | F.contains(fn, fk), key).otherwise(F.concat(key, F.lit(" "), name))
+        telling = F.filter(F.split(name, " "), lambda w: ~TX.ignored(TX.clean_word(w)))
+        short_of = lambda x: F.when((F.size(F.split(name, " ")) > 1) & (x != name) & F.contains(x, name), F.try_element_at(telling, F.lit(-1)))
+        return F.when(key == name, key).otherwise(_let(appended, lambda x: _let(short_of(x), lambda short: told(name, x, short))))
+
+    def told(name: Column, appended: Column, short: Column) -> Column:
+        ordered = F.when(short.isNotNull(), _replace_first(appended, name, short)).otherwise(appended)
+        full_of = lambda x: F.when(short.isNotNull(), _replace_first(F.lower(x), F.lower(short), name)).otherwise(x)
+        capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
+        return _let(_let(_let(ordered, lambda x: swapped(name, x, short)), full_of), capital)
+
+    def swapped(name: Column, ordered: Column, short: Column) -> Column:
+        ws = F.split(ordered, " ")
+        first, second = F.lower(_at(ws, 1)), F.lower(_at(ws, 2))
+        turns = (second == F.lower(F.coalesce(short, name))) | F.coalesce(first == F.lower(short), F.lit(False))
+        return F.when((F.size(ws) == 2) & turns & ~first.rlike(TX.ADJECTIVE_SUFFIX), F.concat(second, F.lit(" "), first)).otherwise(ordered)
+
+    return F.concat(_let(plain_name(name), with_name), F.lit(" - "), group)
 
 
 def label_categories(cats: DataFrame, name=None) -> DataFrame:
@@ -318,7 +329,8 @@ def categories(cl: DataFrame, name=None) -> DataFrame:
     a category is never collected into one row)."""
     cl = _with_name(cl, name) if name is not None else cl
     names = cl.select("filename", "name").distinct()
-    cats = categorise(cl).join(names, "filename")
+    # the key's long expression is used many times in the label: computed once, not inlined
+    cats = cut_lineage(categorise(cl)).join(names, "filename")
     return label_categories(cats).select("category", "filename", "row_no", "code")
 
 
@@ -418,3 +430,29 @@ def group_definitions(meta: DataFrame) -> DataFrame:
     """``meta(name, title, filename)``: definitions with equal name and title
     are imported together -> ``(name, title, files)`` (sorted, distinct)."""
     return meta.groupBy("name", "title").agg(F.sort_array(F.collect_set("filename")).alias("files"))
+
+
+def group_codelists(meta: DataFrame, cl: DataFrame) -> DataFrame:
+    """The codelists of each group of ``meta(name, title, filename)`` as one virtual
+    file -> ``(filename, name, title, row_no, source, source_row, attrs)``.
+
+    ``filename`` is the group's identity (its name and title as JSON).  Rows follow
+    each other file by file, files by name: a row's number is its own plus those of
+    the files before it, a running sum over files, so it is the same in every run and
+    no file is gathered.  A file in several groups belongs to each; one named twice in
+    a group counts once; files that nobody holds add nothing."""
+    files = meta.select(F.to_json(F.array("name", "title")).alias("grp"), "name", "title", F.col("filename").alias("source")).distinct()
+    sizes = cl.groupBy(F.col("filename").alias("source")).agg((F.max("row_no") + 1).cast("bigint").alias("size"))
+    before = Window.partitionBy("grp").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut_lineage(files.join(sizes, "source").withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))))
+    return cl.select(F.col("filename").alias("source"), F.col("row_no").cast("bigint").alias("source_row"), "attrs").join(placed, "source").select(
+        F.col("grp").alias("filename"), "name", "title", (F.col("offset") + F.col("source_row")).alias("row_no"), "source", "source_row", "attrs")
+
+
+def group_categories(meta: DataFrame, cl: DataFrame) -> DataFrame:
+    """The import of each group: K8 and K10 over its virtual file, with the group's
+    name as phenotype -> ``(name, title, category, source, source_row, code)``."""
+    rows = cut_lineage(group_codelists(meta, clean_headers(cl)))
+    found = categories(rows.select("filename", "name", "row_no", "attrs"))
+    return found.join(rows.select("filename", "name", "title", "row_no", "source", "source_row"), ["filename", "row_no"]) \
+        .select("name", "title", "category", "source", "source_row", "code")

@@ -19,8 +19,8 @@ and the definition ends with :func:`resolve_cases`.  Steplists are tiny
 definitions, so they are read on the driver (bounded); the codelists stay
 DataFrames.  Two evaluators share the planned steps:
 
-* :func:`evaluate_steplist` folds criteria over the wide table (the table
-  model; the definition's codes become literal ``IN`` lists);
+* :func:`evaluate_steplist` runs on the wide table (the table model): the items of
+  all cells are extracted once and joined with the same step-code table;
 * :func:`evaluate_steplist_events` computes **all** coded steps in one join of
   the events with a step-code table and one aggregate keyed by
   ``(patient, step)``, pivoted on the known step columns; then the same
@@ -32,13 +32,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.functions.cells import q
+from phenospark.functions.cells import q, row_codes, row_dated_codes
 from phenospark.functions.dates import floor_days
 from phenospark.operators import criteria as C
-from phenospark.session import maybe_broadcast
+from phenospark.session import cut_lineage, maybe_broadcast
 
 
 # --- names ---------------------------------------------------------------------
@@ -51,6 +51,14 @@ def clean_name(text: str, spaces: bool = False) -> str:
     return text if spaces else text.replace(" ", "-")
 
 
+def clean_name_expr(text: Column) -> Column:
+    """:func:`clean_name` as a column expression."""
+    text = F.regexp_replace(F.replace(text, F.lit("/"), F.lit("")), r"(\s)?\(.*\)", "")
+    for mark, by in ((",", ""), ("&amp;", "and"), (" ", "-")):
+        text = F.replace(text, F.lit(mark), F.lit(by))
+    return text
+
+
 def name_from_file(file: str) -> str:
     """Title of a codelist file: the part before '_', dashes to spaces, a
     trailing number dropped, first letter capital, no '.csv'."""
@@ -61,7 +69,7 @@ def name_from_file(file: str) -> str:
     return " ".join(parts).replace(".csv", "")
 
 
-def name_from_file_col(file) -> "Column":
+def name_from_file_col(file) -> Column:
     """:func:`name_from_file` as a column expression."""
     parts = F.split(F.substring_index(file, "_", 1), "-")
     n = F.size(parts)
@@ -212,42 +220,85 @@ def branch_groups(steps: list[Step]) -> list[list[str]]:
 
 
 # --- wide evaluation ---------------------------------------------------------------
-def _literal_codes(categories: DataFrame, steps: list[Step]) -> dict:
-    """The codes of the files that the definition names."""
-    files = sorted({f for s in _flat(steps) for f in (s.file, s.before_file) if f})
-    out: dict = {}
-    for r in categories.where(F.col("file").isin(files)).select("file", "category", "code").distinct().collect():
-        out.setdefault((r["file"], r["category"]), []).append(r["code"])
-        out.setdefault((r["file"], None), []).append(r["code"])
-    return {k: sorted(set(v)) for k, v in out.items()}
+def _row_digest(df: DataFrame) -> Column:
+    """Rows with equal cells have equal flags, so a digest of the cells joins flags to rows."""
+    return F.sha2(F.to_json(F.struct(*[q(c).cast("string").alias(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+
 
+def _cell_hits(keyed: DataFrame, cols: list[str], sc: DataFrame) -> DataFrame:
+    """``(_row, code, step, role, ts, at)``: the items of each row's cells that are
+    in the step-code table ``sc``, ``at`` being their place in the row.  Each row is
+    extracted from once, however many steps there are."""
+    none = F.lit(None).cast("timestamp")
+    counted = F.transform(row_codes(cols), lambda c, i: F.struct(F.lit(True).alias("counted"), c.alias("code"), none.alias("ts"), i.alias("at")))
+    dated = F.transform(row_dated_codes(cols), lambda x, i: F.struct(F.lit(False).alias("counted"), x["code"].alias("code"), x["ts"].alias("ts"), i.alias("at")))
+    items = keyed.select("_row", F.explode(F.concat(counted, dated)).alias("x")).select("_row", "x.*").where(F.col("counted") | F.col("ts").isNotNull())
+    return items.join(maybe_broadcast(sc), "code").where(F.col("counted") == (F.col("role") == "count"))
 
-def _apply_wide(df: DataFrame, steps: list[Step], codes: dict, as_of, keywords: dict | None) -> DataFrame:
+
+def _apply_wide(df: DataFrame, steps: list[Step], hidden: dict, as_of) -> DataFrame:
+    """Puts each computed flag under its name at its step's place; age, encounter and
+    branch steps are projections there."""
     for s in steps:
-        col = s.column.rsplit("-", 1)[0]
-        if s.kind == "codelist":
-            df = C.codelist(df, col, codes[(s.file, s.category)], s.required)
-        elif s.kind == "exclude":
-            df = C.codelist_exclude(df, col, codes[(s.file, s.category)])
-        elif s.kind == "temporal":
-            df = C.codelists_temporal(df, col, codes[(s.before_file, None)], codes[(s.file, s.category)],
-                                      s.lower, s.upper)
-        elif s.kind == "keywords":
-            df = C.keywords(df, col, (keywords or codes)[(s.file, s.category)])
+        if s.column in hidden:
+            df = df.select(*[q(c) for c in df.columns if c != hidden[s.column]], q(hidden[s.column]).alias(s.column))
         elif s.kind == "age":
-            df = C.age(df, s.lower, s.upper, as_of, name=col)
+            df = C.age(df, s.lower, s.upper, as_of, name=s.column.rsplit("-", 1)[0])
         elif s.kind == "last_encounter":
-            df = C.last_encounter(df, s.years, as_of, name=col)
+            df = C.last_encounter(df, s.years, as_of, name=s.column.rsplit("-", 1)[0])
         elif s.kind == "branch":
-            df = _apply_wide(df, s.branch, codes, as_of, keywords)
-            df = C.nested_cases(df, branch_groups(s.branch), col)
+            df = _apply_wide(df, s.branch, hidden, as_of)
+            df = C.nested_cases(df, branch_groups(s.branch), s.column.rsplit("-", 1)[0])
     return df
 
 
 def evaluate_steplist(df: DataFrame, steps: list[Step], categories: DataFrame, as_of,
                       keywords: dict | None = None) -> DataFrame:
-    """Wide table in, resolved cases out (all criteria fused in projections)."""
-    return C.resolve_cases(_apply_wide(df, steps, _literal_codes(categories, steps), as_of, keywords))
+    """Wide table in, resolved cases out.  Codes stay a table of any length: the items
+    of all cells are extracted once, joined with the step-code table and folded back by
+    row (counts; the last-listed before and first-listed after date of temporal
+    steps).  Keyword steps match through the literal index; their patterns are the codes of
+    their file, or those of ``keywords`` ((file, category) -> patterns)."""
+    flat = _flat(steps)
+    coded = [s for s in flat if s.kind in ("codelist", "exclude", "temporal")]
+    worded = [s for s in flat if s.kind == "keywords"]
+    keyed, flags, hidden = df.withColumn("_row", _row_digest(df)), [], {}
+    wide = None
+    if coded:
+        # equal rows have equal hits: they count once, and hits are few beside the cells
+        hits = _cell_hits(keyed, df.columns, cut_lineage(_step_codes(steps, categories))).distinct()
+        aggs = []
+        for i, s in enumerate(coded):
+            mine = F.col("step") == F.lit(s.column)
+            if s.kind == "temporal":
+                before, after = mine & (F.col("role") == "before"), mine & (F.col("role") == "after")
+                aggs += [F.max_by(F.when(before, F.col("ts")), F.when(before, F.col("at"))).alias(f"_b{i}"),
+                         F.min_by(F.when(after, F.col("ts")), F.when(after, F.col("at"))).alias(f"_a{i}")]
+            else:
+                aggs.append(F.count(F.when(mine, F.lit(1))).alias(f"_n{i}"))
+            hidden[s.column] = f"__step{len(hidden)}"
+            days = floor_days(F.col(f"_a{i}"), F.col(f"_b{i}"))
+            flags.append({"codelist": lambda i=i, s=s: C.case_flag(F.col(f"_n{i}") >= F.lit(s.required)),
+                          "exclude": lambda i=i: C.exclusion_flag(F.col(f"_n{i}") >= F.lit(1)),
+                          "temporal": lambda days=days, s=s: C.case_flag((F.lit(s.lower) < days) & (days < F.lit(s.upper)))}[s.kind]().alias(hidden[s.column]))
+        wide = hits.groupBy("_row").agg(*aggs)
+    if worded:
+        from phenospark.operators.keyword_index import keyword_matches
+
+        spark = df.sparkSession
+        spec = spark.createDataFrame([(s.column, s.file, s.category) for s in worded], "step string, file string, category string")
+        given = categories if keywords is None else spark.createDataFrame(
+            [(f, c, p) for (f, c), ps in keywords.items() for p in ps], "file string, category string, code string")
+        patterns = spec.join(given.select("file", "category", "code"), ["file", "category"]).select(F.col("step").alias("category"), F.col("code").alias("pattern"))
+        met = keyword_matches(keyed, patterns, "_row", df.columns)
+        found = met.groupBy("_row").agg(*[F.bool_or(F.col("category") == s.column).alias(f"_k{i}") for i, s in enumerate(worded)])
+        wide = found if wide is None else wide.join(found, "_row", "full")
+        for i, s in enumerate(worded):
+            hidden[s.column] = f"__step{len(hidden)}"
+            flags.append(C.case_flag(F.col(f"_k{i}")).alias(hidden[s.column]))
+    if wide is not None:
+        df = keyed.join(wide, "_row", "left").select(*[q(c) for c in df.columns], *flags)
+    return C.resolve_cases(_apply_wide(df, steps, hidden, as_of))
 
 
 # --- long evaluation -----------------------------------------------------------------

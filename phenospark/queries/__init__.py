@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["criteria_queries", "steplist_queries", "source_queries", "curation_queries", "catalog_queries", "learning_queries"]
+_MODULES = ["criteria_queries", "steplist_queries", "source_queries", "curation_queries", "catalog_queries", "learning_queries",
+            "exchange_queries", "keyword_queries", "extra_queries"]
 
 
 def _collect(attr: str) -> dict:

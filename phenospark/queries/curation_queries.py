@@ -232,3 +232,41 @@ SELECT CASE WHEN key = 'Part' THEN key ELSE upper(substr(swapped, 1, 1)) || subs
 FROM sw"""
 
 ORACLES["k8_categories"] = SQL_K8
+
+
+# --- codelists of a group, imported together -------------------------------------------
+def _groups(spark, sf):
+    """A group for each header form and last digit: brands of one form share a header."""
+    cl = raw_codelists(spark, sf)
+    num = F.regexp_extract("filename", "brand-([0-9]+)_", 1).cast("int")
+    title = F.concat(F.when(num <= 9, "read-").otherwise("icd10-"), (num % 3).cast("string"))
+    return cl.select(F.lit(NAME).alias("name"), title.alias("title"), "filename").distinct(), cl
+
+
+def q_k19u_group_codelists(spark, sf):
+    return K.group_codelists(*_groups(spark, sf)).select("title", "row_no", "source", "source_row")
+
+
+def q_k19u_group_categories(spark, sf):
+    return K.group_categories(*_groups(spark, sf)).select("title", "category", "source", "source_row", "code")
+
+
+_VPART = f"""
+f AS (SELECT {FNAME} AS source, CASE WHEN {FILE} <= 9 THEN 'read-' ELSE 'icd10-' END || CAST({FILE} % 3 AS VARCHAR) AS title, max(p_partkey) + 1 AS size
+      FROM part GROUP BY ALL),
+o AS (SELECT source, title, coalesce(sum(size) OVER (PARTITION BY title ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f),
+vpart AS (SELECT part.*, o.title AS vname, CAST(o.start + p_partkey AS BIGINT) AS vrow, source FROM part JOIN o ON {FNAME} = o.source)"""
+SQL_K19U_ROWS = f"WITH {_VPART} SELECT vname AS title, vrow AS row_no, source, p_partkey AS source_row FROM vpart"
+# K8's own SQL over the virtual files
+_K8_GROUPS = (SQL_K8.replace(FNAME, "vname").replace("p_partkey AS row_no", "vrow AS row_no").replace("vname, p_partkey,", "vname, vrow,")
+              .replace("FROM part", "FROM vpart"))
+SQL_K19U = f"WITH {_VPART}, k8 AS ({_K8_GROUPS}) " + """
+SELECT k8.filename AS title, category, source, p_partkey AS source_row, code FROM k8 JOIN vpart ON vname = k8.filename AND vrow = k8.row_no"""
+QUERIES.update({"k19u_group_codelists": q_k19u_group_codelists, "k19u_group_categories": q_k19u_group_categories})
+ORACLES.update({"k19u_group_codelists": SQL_K19U_ROWS, "k19u_group_categories": SQL_K19U})
+
+# KEYWORD_LIST as K5 and K8 see it: the list's one common term names two keywords, the others go by the name or by themselves
+_FLAG = """CASE WHEN regexp_matches(coalesce(text, ''), '(?i){p}') THEN 'CASE' ELSE 'UNK' END AS "{c}-identified\""""
+ORACLES["c17_keyword_list"] = 'SELECT CAST(doc_id AS VARCHAR) AS "patient-id", text, ' + ", ".join(
+    _FLAG.format(p=p, c=c) for p, c in (("licen[cs]e", "legal-licencse---secondary"), ("copyright notice|secret token", "legal---secondary"),
+                                        ("password", "legal-password---secondary"))) + " FROM documents"

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Largest side (rows) that we hand to a broadcast join.  Codelists, category
 # maps and steplists are definitions, not data: they stay far below this.
 BROADCAST_MAX_ROWS = 200_000
+# ... and its largest size in bytes, as text.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -91,7 +93,14 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a definition-sized side only after checking it is small;
-    beyond the bound the join stays a shuffle join (AQE may still switch)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Bounded check of rows and bytes: reads at most ``max_rows + 1`` rows."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast a definition-sized side only after checking that it is small;
+    beyond the bounds the join stays a shuffle join (AQE may still switch)."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
