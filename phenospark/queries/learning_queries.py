@@ -70,7 +70,7 @@ def q_m2_split_train_test(spark, sf):
     return M.split_train_test(o, "o_orderkey", seed=M.SPLIT_SEED)
 
 
-def _classify(spark, sf, model, binary=False):
+def _classify(spark, sf, model, binary=False, **settings):
     df = _embedding_table(spark, sf)
     if binary:
         df = df.withColumn("label", F.when(F.col("label").isin("label0", "label1", "label2", "label3", "label4"), "low")
@@ -79,7 +79,7 @@ def _classify(spark, sf, model, binary=False):
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     feats = [f"f{i}" for i in range(DIMS)]
-    _, tr, te = M.fit_predict(train, test, "label", model, 0, feats)
+    _, tr, te = M.fit_predict(train, test, "label", model, 0, feats, **settings)
     return (tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
             .select("row_id", "split", "label", "label_pred"))
 
@@ -100,6 +100,14 @@ def q_m7_gradient_boosting(spark, sf):
     return _classify(spark, sf, "gradient_boost", binary=True)
 
 
+#: Stages of the query on ten labels: a stage is three jobs.
+SOFTMAX_STAGES = 10
+
+
+def q_m7k_softmax_boosting(spark, sf):
+    return _classify(spark, sf, "gradient_boost", boosts=SOFTMAX_STAGES)
+
+
 def q_m8_svc(spark, sf):
     return _classify(spark, sf, "svc", binary=True)
 
