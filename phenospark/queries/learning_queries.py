@@ -112,6 +112,14 @@ def q_m8_svc(spark, sf):
     return _classify(spark, sf, "svc", binary=True)
 
 
+#: Most that the kernel of the query may be off for any pair of rows.
+KERNEL_ERROR = 0.05
+
+
+def q_m8k_svc_landmarks(spark, sf):
+    return _classify(spark, sf, "svc", kernel_error=KERNEL_ERROR, iterations=100)
+
+
 def q_w4_row_index(spark, sf):
     from phenospark.operators.frames import row_index
 
@@ -181,6 +189,8 @@ QUERIES = {
     "m5_decision_tree": q_m5_decision_tree,
     "m6_random_forest": q_m6_random_forest,
     "m7_gradient_boosting": q_m7_gradient_boosting,
+    "m7k_softmax_boosting": q_m7k_softmax_boosting,
+    "m8k_svc_landmarks": q_m8k_svc_landmarks,
     "m8_svc": q_m8_svc,
     "w4_row_index": q_w4_row_index,
     "m10_output_predictions": q_m10_output_predictions,
