@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["criteria_queries", "steplist_queries", "source_queries", "curation_queries", "catalog_queries", "learning_queries",
-            "exchange_queries", "keyword_queries", "extra_queries"]
+            "exchange_queries", "keyword_queries", "extra_queries", "stem_queries"]
 
 
 def _collect(attr: str) -> dict:
