@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phenospark.functions.stem import porter_stem
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the table model's, in their natural order.
 # ---------------------------------------------------------------------------
@@ -84,11 +86,14 @@ def name_words(name: Column) -> Column:
                     lambda w: w != "")
 
 
-def related_to_name(term: Column, words: Column, singular_term: Column | None = None) -> Column:
+def related_to_name(term: Column, words: Column) -> Column:
     """A term belongs to the name when it contains, or is contained in, a
-    word of the name (also after the plural rule)."""
-    st = singular(term) if singular_term is None else singular_term
-    return F.exists(words, lambda w: F.contains(w, term) | F.contains(term, w) | F.contains(singular(w), st))
+    word of the name, or when its stem lies in the stem of one ("diabetic"
+    belongs to "diabetes").  Terms have gone through the plural rule, so the
+    word they contain may have too ("prediabete" holds "diabete")."""
+    # one-element arrays hold the stem, which every word meets
+    return F.exists(words, lambda w: F.contains(w, term) | F.contains(term, w) | F.contains(term, singular(w))) | F.exists(
+        F.array(porter_stem(term)), lambda st: F.exists(words, lambda w: F.contains(porter_stem(w), st)))
 
 
 def numbered_bigrams(c: Column) -> Column:

@@ -128,10 +128,12 @@ def term_counts(cl: DataFrame, name=None, only_included: bool = True) -> DataFra
     if "description" not in cl.columns:
         cl = with_description(cl)
     t = _terms(included(cl) if only_included else cl).where(F.length("term") >= TX.MIN_TERM_LENGTH)
-    t = t.withColumn("_nw", TX.name_words(F.col("name"))).withColumn("_st", TX.singular(F.col("term")))
-    t = t.where(~TX.related_to_name(F.col("term"), F.col("_nw"), F.col("_st")))
+    # distinct terms first, so that each meets the name (and is stemmed) once
+    t = (t.groupBy("filename", "name", "term").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_no", "pos")).alias("first"))
+         .withColumn("_nw", TX.name_words(F.col("name"))))
+    t = t.where(~TX.related_to_name(F.col("term"), F.col("_nw")))
     agg = (t.groupBy("filename", "term")
-           .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_no", "pos")).alias("first"))
+           .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
            .where(F.col("n") > 1))
     # Ranking inside one file's distinct terms: a file's vocabulary is small.
     from pyspark.sql import Window

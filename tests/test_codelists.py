@@ -62,6 +62,13 @@ def test_term_counts_and_file_category(spark):
     assert K.file_category(cl, "Lung").collect()[0]["file_category"] == "asthma"
 
 
+def test_terms_that_share_a_stem_with_the_name_are_the_names(spark):
+    rows = [{"icd10code": str(i), "description": d} for i, d in enumerate(["Diabetic retinopathy", "diabetics retinopathy", "prediabetes retinopathies"] * 2)]
+    cl = K.with_description(K.clean_headers(_long(spark, [("f.csv", rows)])))
+    assert set(r["term"] for r in K.term_counts(cl, "Diabetes").collect()) == {"retinopathy"}
+    assert {r["term"] for r in K.term_counts(cl, "Lung").collect()} > {"retinopathy", "diabetic"}
+
+
 def test_non_differentiating_only_contained_ones(spark):
     tc = spark.createDataFrame([("f", "diabetes", 10), ("f", "diabete", 2), ("f", "insulin", 3)],
                                "filename string, term string, n long")
