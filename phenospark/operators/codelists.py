@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenospark.functions import text as TX
-from phenospark.session import cut_lineage
+from phenospark.session import cut_lineage, maybe_broadcast, spread, tasks_for
 
 
 def _at(arr: Column, i: int) -> Column:
@@ -147,6 +147,7 @@ def non_differentiating_terms(tc: DataFrame, cutoff: float = TX.NOT_DIFFERENTIAT
     """Adds ``frequent`` (share of all counts >= cutoff) and ``excluded``:
     the terms that are shorter forms of a frequent one.  (Frequent terms
     themselves stay in play, as in the table model.)"""
+    tc = cut_lineage(tc)  # read for the sum, the frequent terms and their shorter forms
     tot = tc.groupBy("filename").agg(F.sum("n").alias("total"))
     t = tc.join(tot, "filename").withColumn("frequent", F.col("n") / F.col("total") >= F.lit(cutoff))
     fr = t.where("frequent").select("filename", F.col("term").alias("fterm"))
@@ -219,8 +220,7 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
     inc = cut_lineage(with_description(included(cl)).withColumn("code", code_expr(F.col("attrs"))))
     grp = coding_system_group(inc)
     nrows = inc.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
-    counts = cut_lineage(term_counts(inc))
-    tc = cut_lineage(non_differentiating_terms(counts).where(~F.col("excluded")).select("filename", "term", "rank"))
+    tc = cut_lineage(non_differentiating_terms(term_counts(inc)).where(~F.col("excluded")).select("filename", "term", "rank"))
     has_terms = tc.select("filename").distinct().withColumn("has_terms", F.lit(True))
 
     described = inc.where(F.col("description").isNotNull() & (F.col("description") != ""))
@@ -233,8 +233,10 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
     best = (words.join(matches, ["filename", "sw"]).join(tc, ["filename", "term"])
             .groupBy("filename", "row_no").agg(F.max_by("term", "rank").alias("matched")))
 
-    d = (described.join(best, ["filename", "row_no"], "left").join(has_terms, "filename", "left")
-         .join(nrows, "filename"))
+    d = (described.join(best, ["filename", "row_no"], "left").join(maybe_broadcast(has_terms), "filename", "left")
+         .join(maybe_broadcast(nrows), "filename"))
+    # files are few and rows many: what takes time runs in tasks of so many rows, not of so many files
+    d = d.repartition(tasks_for(inc), "filename", "row_no")
     d = (d.withColumn("_parts", TX.split_terms(F.col("description")))
          .withColumn("_nw", TX.name_words(F.col("name")))
          .withColumn("_lname", F.split(F.lower(F.col("name")), " ")))
@@ -258,7 +260,7 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
                      .when(prod.isNotNull(), F.concat(F.lit("Use of "), F.coalesce(F.col("attrs")["drugsubstance"], F.lit("undefined"))))
                      .alias("category_key")).where(F.col("category_key").isNotNull())
     named = d.unionByName(o).where(F.col("code").isNotNull() & F.col("category_key").isNotNull())
-    return named.join(grp, "filename", "left")
+    return named.join(maybe_broadcast(grp), "filename", "left")
 
 
 def rejections(cl: DataFrame, name=None) -> DataFrame:
@@ -332,7 +334,7 @@ def categories(cl: DataFrame, name=None) -> DataFrame:
     cl = _with_name(cl, name) if name is not None else cl
     names = cl.select("filename", "name").distinct()
     # the key's long expression is used many times in the label: computed once, not inlined
-    cats = cut_lineage(categorise(cl)).join(names, "filename")
+    cats = cut_lineage(categorise(cl)).join(maybe_broadcast(names), "filename")
     return label_categories(cats).select("category", "filename", "row_no", "code")
 
 
@@ -454,7 +456,7 @@ def group_codelists(meta: DataFrame, cl: DataFrame) -> DataFrame:
 def group_categories(meta: DataFrame, cl: DataFrame) -> DataFrame:
     """The import of each group: K8 and K10 over its virtual file, with the group's
     name as phenotype -> ``(name, title, category, source, source_row, code)``."""
-    rows = cut_lineage(group_codelists(meta, clean_headers(cl)))
+    rows = spread(cut_lineage(group_codelists(meta, clean_headers(cl))), "filename", "row_no")
     found = categories(rows.select("filename", "name", "row_no", "attrs"))
     return found.join(rows.select("filename", "name", "title", "row_no", "source", "source_row"), ["filename", "row_no"]) \
         .select("name", "title", "category", "source", "source_row", "code")

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from phenospark.operators import codelists as K
 from phenospark.plans import records as R
+from phenospark.session import spread
 
 NAME = "Part"
 EXCLUDED_SIZE = 45
 
 
 def raw_codelists(spark, sf):
-    p = R.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size")
+    p = spread(R.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size"), "p_partkey")
     num = F.regexp_extract("p_brand", r"#([0-9]+)", 1).cast("int")
     primary = num <= 9
     fname = F.concat(F.lit("brand-"), num.cast("string"), F.when(primary, F.lit("_read.csv")).otherwise(F.lit("_icd10.csv")))
