@@ -236,7 +236,8 @@ def categorise(cl: DataFrame, name=None) -> DataFrame:
     d = (described.join(best, ["filename", "row_no"], "left").join(maybe_broadcast(has_terms), "filename", "left")
          .join(maybe_broadcast(nrows), "filename"))
     # files are few and rows many: what takes time runs in tasks of so many rows, not of so many files
-    d = d.repartition(tasks_for(inc), "filename", "row_no")
+    # (checkpointed, so that filters on the key are not pushed below the dealing)
+    d = cut_lineage(d.drop("attrs").repartition(tasks_for(inc), "filename", "row_no"))
     d = (d.withColumn("_parts", TX.split_terms(F.col("description")))
          .withColumn("_nw", TX.name_words(F.col("name")))
          .withColumn("_lname", F.split(F.lower(F.col("name")), " ")))

@@ -25,3 +25,18 @@ def test_cut_lineage_is_reliable(spark):
     assert out.count() == 100
     assert spark.sparkContext.getCheckpointDir()
     assert "LocalCheckpoint" not in out._jdf.queryExecution().logical().toString()
+
+
+def test_rows_of_a_small_file_are_dealt_to_tasks(spark, tmp_path):
+    """One file of few bytes and many rows: several tasks, also for what is filtered by a value worked out."""
+    from pyspark.sql import functions as F
+    from phenospark.operators import codelists as K
+    from phenospark.queries import curation_queries as Q
+
+    (spark.range(25_000).select(F.col("id").alias("p_partkey"), F.lit("Brand#11").alias("p_brand"), F.lit("steel").alias("p_type"),
+                                F.lit("plated tin").alias("p_name"), F.lit(1).alias("p_size"))
+     .coalesce(1).write.parquet(str(tmp_path / "part.parquet")))
+    rows = K.with_description(K.included(Q.codelists(spark, str(tmp_path)))).where("description is not null")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.rdd.getNumPartitions() >= 3 and "Exchange" not in plan
+    assert tuple(rows.agg(F.count("row_no"), F.countDistinct("row_no")).first()) == (25_000, 25_000)
