@@ -40,3 +40,15 @@ def test_rows_of_a_small_file_are_dealt_to_tasks(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert rows.rdd.getNumPartitions() >= 3 and "Exchange" not in plan
     assert tuple(rows.agg(F.count("row_no"), F.countDistinct("row_no")).first()) == (25_000, 25_000)
+
+
+def test_xml_records_are_written_in_files_of_so_many_rows(spark, tmp_path, monkeypatch):
+    """A task reads an XML file whole: files must not grow with the table."""
+    from pyspark.sql import functions as F
+    from phenospark.queries import extra_queries as Q
+
+    monkeypatch.setattr(Q, "_scratch", lambda spark, name: str(tmp_path / name))
+    (spark.range(25_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey"))
+     .coalesce(1).write.parquet(str(tmp_path / "customer.parquet")))
+    assert Q.q_s5_cohort_from_xml(spark, str(tmp_path)).count() == 25_000
+    assert len(list((tmp_path / "xml").glob("part-*"))) >= 3
