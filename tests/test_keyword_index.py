@@ -82,3 +82,28 @@ def test_long_keyword_list(spark):
     flags = [c for c in wide.columns if c.endswith("-identified")]
     rows = [[r[f] for f in flags] for r in wide.where("`patient-id` = '1'").collect()]
     assert sorted("CASE" in r for r in rows) == [False, True]
+
+
+@pytest.mark.parametrize("limit", [128 << 20, 0])
+def test_pieces_equal_whole_texts(spark, monkeypatch, limit):
+    """Matches at every place around the ends of pieces; looks around see past them, and no end of a piece is one of the text."""
+    monkeypatch.setattr(I, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(I, "PIECE", 40)
+    monkeypatch.setattr(I, "REACH", 40)
+    fills = ["xfoo bar foo barx ", "é", "a b ", "😀", "foo bar"]
+    texts = [(fill * 40)[:n] + body for fill in fills for n in list(range(28, 46)) + list(range(68, 86, 3)) + [0, 120] for body in (" foo BAR", "foo bar ", "lone", "")]
+    patterns = ["(?<![^ ])foo BAR(?![^ ])", "(?<![^ ])(?:foo )bar(?![^ ])", "(?<![^ ])foo[ ]bar(?![^ ])", "(?<! )foo", "bar(?! )", "[a-z ]lone", "lone|(foo) bar(?=x)",
+                "(?<![a-z])", "foo.*lone", "^foo", "bar$", "(x)", "[a]", "zfoo bar", "(?<=bar (foo|far) )bar"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(4)
+    pats = spark.createDataFrame([(p, p) for p in patterns], "pattern_id string, pattern string")
+    got = [tuple(r) for r in I.pattern_hits(df, pats).collect()]
+    assert set(got) == _expected(spark, texts, patterns) and len(got) == len(set(got))
+
+
+def test_anchors_tell_patterns_apart(spark):
+    """Patterns of two words are met by a run that holds both, not by three characters that many share."""
+    pats = spark.createDataFrame([(p, p) for p in ("(?<![^ ])(?:alpha )beta(?![^ ])", "(?<![^ ])alpha[ ]GAMMA(?![^ ])", "(?:alpha )?beta", "x|alphabeta")],
+                                 "pattern_id string, pattern string")
+    got = {(r["pattern"], r["literal"], len(r["gram"]), r["short"]) for r in I.anchored(pats).collect()}
+    assert got == {("(?<![^ ])(?:alpha )beta(?![^ ])", " alpha beta ", 8, True), ("(?<![^ ])alpha[ ]GAMMA(?![^ ])", " alpha gamma ", 8, True),
+                   ("(?:alpha )?beta", "beta", 3, False), ("x", "x", 1, True), ("alphabeta", "alphabeta", 8, True)}
