@@ -107,3 +107,24 @@ def test_anchors_tell_patterns_apart(spark):
     got = {(r["pattern"], r["literal"], len(r["gram"]), r["short"]) for r in I.anchored(pats).collect()}
     assert got == {("(?<![^ ])(?:alpha )beta(?![^ ])", " alpha beta ", 8, True), ("(?<![^ ])alpha[ ]GAMMA(?![^ ])", " alpha gamma ", 8, True),
                    ("(?:alpha )?beta", "beta", 3, False), ("x", "x", 1, True), ("alphabeta", "alphabeta", 8, True)}
+
+
+LONE = lambda body: f"(?<![^ ]){body}(?![^ ])"
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_whole_words_are_looked_up_without_the_expression(spark, monkeypatch, limit):
+    """Patterns of plain words between spaces meet the texts' runs of words; nothing but the runs that match is paired."""
+    monkeypatch.setattr(I, "BROADCAST_BYTES", limit)
+    bodies = ["ab", "ab cd", "AB  cd", " ab", "ab ", "(?:ab )Cd", "a[b] cd", "(ab) (cd)", "ab cd ef", "ab cd ef ab", "ab cd ef ab cd", "sk", "i", " ", "ab?", "a|b", "[ab]b", "(?:ab )?cd"]
+    patterns = [LONE(b) for b in bodies] + ["(?<![^ ])ab", "ab cd(?![^ ])", LONE("ab") + "\n"]
+    atoms, rnd = ["ab", "AB", "cd", "Cd", "ef", "abc", "", "\u017fk", "s\u212a", "\u0130", "\u0131", "a\tb", "ab\n", "\n"], random.Random(3)
+    texts = [" ".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 7))) for _ in range(150)] + [None, "", " ", "  ", "ab cd ef ab cd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    pats = spark.createDataFrame([(p, p) for p in patterns], "pattern_id string, pattern string")
+    got = [tuple(r) for r in I.pattern_hits(df.repartition(3), pats).collect()]
+    assert set(got) == _expected(spark, texts, patterns) and len(got) == len(set(got))
+    known = {r[0]: r[1] for r in pats.select("pattern", I.phrase_of(F.col("pattern"))).collect()}
+    assert [known[LONE(b)] for b in bodies] == ["ab", "ab cd", "ab  cd", " ab", "ab ", "ab cd", "ab cd", "ab cd", "ab cd ef", "ab cd ef ab", None, "sk", "i", " ", None, None, None, None]
+    monkeypatch.setattr(I, "_hit", None)   # whole words alone need no search
+    assert I.pattern_hits(df, pats.where(I.phrase_of(F.col("pattern")).isNotNull())).count() > 50
