@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 GRAM = 3
 BUCKETS = 64
+#: Values whose runs in one bucket are a slice of it, sorted by one task.
+SLICE_VALUES = 4_000_000
 FIELDS = ("name", "about", "user_name")
 # Ends a value; not a character of text.
 _PAD = "\x01" * (GRAM - 1)
@@ -50,8 +52,10 @@ def build_search_index(workflow: DataFrame, folder: str, fields: Sequence[str] =
     values = rows.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x"))
     postings = values.where(F.col("x.value").isNotNull()).select("id", "x.field", "x.value").select("id", "field", F.explode(grams).alias("gram"))
     bucket = (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int")
-    # a frequent run is many rows: they are dealt by run and id, so no task holds all of one
-    (postings.withColumn("bucket", bucket).repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id")
+    # a frequent run is many rows: a bucket's are dealt by id to so many slices, so no task holds all of one
+    slices = max(1, -(-rows.count() * len(fields) // SLICE_VALUES))
+    place = F.pmod(F.xxhash64("id"), F.lit(slices))
+    (postings.withColumn("bucket", bucket).repartition(BUCKETS * slices, "bucket", place).sortWithinPartitions("bucket", "gram", "id")
      .write.partitionBy("bucket").parquet(f"{folder}/postings"))
     return SearchIndex(folder, rows.schema)
 
