@@ -37,18 +37,17 @@ def cluster_col(k: int) -> str:
 def tbc_partitions(df: DataFrame, features: Sequence[str], K: int, seed: int, key: str = "row_id",
                    max_iter: int = 300) -> DataFrame:
     """K-means for k = 2..K (seed grows by 3 per run) -> ``(key, c_2..c_K)``.
-    The assembled vectors are persisted once and reused by the K-1 fits; a fit
-    ends when its centres rest, after ``max_iter`` rounds at the latest."""
+    The assembled vectors are checkpointed and reused by the K-1 fits and the assignment:
+    of a table that is not persisted each fit keeps the vectors as they are in memory, and
+    so doesn't decode them again in every round.  A fit ends when its centres rest, after
+    ``max_iter`` rounds at the latest."""
     _check(K)
     if int(seed) != seed or seed < 0:
         raise ValueError("seed must be an integer >= 0")
     vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.select(key, *features))
-    vec = vec.select(key, "features").persist()
+    out = vec = cut_lineage(vec.select(key, "features"))
     models = [KMeans(k=k, seed=int(seed) + SEED_STEP * i, maxIter=max_iter, featuresCol="features",
                      predictionCol=cluster_col(k)).fit(vec) for i, k in enumerate(range(2, K + 1))]
-    vec.unpersist()  # the fits are done; the assignment below is one lazy projection chain
-    out = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.select(key, *features))
-    out = out.select(key, "features")
     for model in models:
         out = model.transform(out)
     return out.drop("features")

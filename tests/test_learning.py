@@ -85,3 +85,14 @@ def test_ordinal_encode(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3), ("a", 4)], "v string, k int")
     out = {r["k"]: r["v"] for r in M.ordinal_encode(df, ["v"]).collect()}
     assert out == {1: 1.0, 2: 0.0, 3: 2.0, 4: 0.0}
+
+
+def test_fits_keep_their_vectors_themselves(spark, monkeypatch):
+    """k-means keeps the vectors of a table that is not persisted; of a persisted one it would decode them in every round."""
+    from pyspark.ml.clustering import KMeans
+
+    from phenospark.operators import tbc
+    df = spark.range(60).selectExpr("id AS row_id", "CAST(id % 5 AS double) AS a", "CAST(id % 3 AS double) AS b")
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, data, *a: seen.append(data.storageLevel.useMemory) or fit(self, data, *a))
+    assert tbc.tbc_partitions(df, ["a", "b"], 3, seed=1).count() == 60 and seen == [False, False]

@@ -88,3 +88,17 @@ def test_ranks_of_many_categories(spark):
 def test_label_of_named_columns(spark, key, name, label):
     df = spark.createDataFrame([(key, "primary", name)], "category_key string, system_group string, name string")
     assert K.label_categories(df).first()["category"] == label
+
+
+def test_frequent_runs_lie_in_several_sorted_files(spark, tmp_path, monkeypatch):
+    """A bucket's postings are dealt by id, so that no task sorts all of a frequent run."""
+    import glob
+
+    from phenospark.operators import search_index as X
+    monkeypatch.setattr(X, "SLICE_VALUES", 300)
+    wf = spark.range(400).selectExpr("id", "'same name' AS name", "concat('about ', id % 7) AS about", "CAST(NULL AS string) AS user_name")
+    index = X.build_search_index(wf, str(tmp_path / "i"))
+    bucket = __import__("zlib").crc32(b"sam") % X.BUCKETS
+    assert len(glob.glob(f"{index.folder}/postings/bucket={bucket}/*.parquet")) > 1
+    assert X.matching_ids(spark, index, "same").count() == 400
+    assert [r.id for r in X.search_page(spark, index, "about 3", 5).collect()] == [3, 10, 17, 24, 31]
