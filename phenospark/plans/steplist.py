@@ -225,14 +225,21 @@ def _row_digest(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*[q(c).cast("string").alias(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
 
 
+#: Code and step of the item that every row has; no cell lists it, as no listed code has a comma.
+EACH_ROW = ","
+
+
 def _cell_hits(keyed: DataFrame, cols: list[str], sc: DataFrame) -> DataFrame:
     """``(_row, code, step, role, ts, at)``: the items of each row's cells that are
-    in the step-code table ``sc``, ``at`` being their place in the row.  Each row is
-    extracted from once, however many steps there are."""
+    in the step-code table ``sc``, ``at`` being their place in the row, and one item
+    ``EACH_ROW`` a row.  Each row is extracted from once, however many steps there are."""
     none = F.lit(None).cast("timestamp")
+    one = F.array(F.struct(F.lit(True).alias("counted"), F.lit(EACH_ROW).alias("code"), none.alias("ts"), F.lit(-1).alias("at")))
+    marker = sc.sparkSession.range(1).select(F.lit(EACH_ROW).alias("code"), F.lit(EACH_ROW).alias("step"), F.lit("count").alias("role"))
+    sc = sc.where(~F.col("code").contains(",")).unionByName(marker)          # no cell lists a code with a comma
     counted = F.transform(row_codes(cols), lambda c, i: F.struct(F.lit(True).alias("counted"), c.alias("code"), none.alias("ts"), i.alias("at")))
     dated = F.transform(row_dated_codes(cols), lambda x, i: F.struct(F.lit(False).alias("counted"), x["code"].alias("code"), x["ts"].alias("ts"), i.alias("at")))
-    items = keyed.select("_row", F.explode(F.concat(counted, dated)).alias("x")).select("_row", "x.*").where(F.col("counted") | F.col("ts").isNotNull())
+    items = keyed.select("_row", F.explode(F.concat(one, counted, dated)).alias("x")).select("_row", "x.*").where(F.col("counted") | F.col("ts").isNotNull())
     return items.join(maybe_broadcast(sc), "code").where(F.col("counted") == (F.col("role") == "count"))
 
 
@@ -265,9 +272,10 @@ def evaluate_steplist(df: DataFrame, steps: list[Step], categories: DataFrame, a
     keyed, flags, hidden = df.withColumn("_row", _row_digest(df)), [], {}
     wide = None
     if coded:
-        # equal rows have equal hits: they count once, and hits are few beside the cells
-        hits = _cell_hits(keyed, df.columns, cut_lineage(_step_codes(steps, categories))).distinct()
-        aggs = []
+        # A row's hits lie in one task, which adds them up before they are shuffled; equal
+        # rows have equal hits, so that counts are held against the number of such rows.
+        hits = _cell_hits(keyed, df.columns, cut_lineage(_step_codes(steps, categories)))
+        aggs = [F.count(F.when(F.col("step") == F.lit(EACH_ROW), F.lit(1))).alias("_equal")]
         for i, s in enumerate(coded):
             mine = F.col("step") == F.lit(s.column)
             if s.kind == "temporal":
@@ -278,7 +286,7 @@ def evaluate_steplist(df: DataFrame, steps: list[Step], categories: DataFrame, a
                 aggs.append(F.count(F.when(mine, F.lit(1))).alias(f"_n{i}"))
             hidden[s.column] = f"__step{len(hidden)}"
             days = floor_days(F.col(f"_a{i}"), F.col(f"_b{i}"))
-            flags.append({"codelist": lambda i=i, s=s: C.case_flag(F.col(f"_n{i}") >= F.lit(s.required)),
+            flags.append({"codelist": lambda i=i, s=s: C.case_flag(F.col(f"_n{i}") >= F.lit(s.required) * F.col("_equal")),
                           "exclude": lambda i=i: C.exclusion_flag(F.col(f"_n{i}") >= F.lit(1)),
                           "temporal": lambda days=days, s=s: C.case_flag((F.lit(s.lower) < days) & (days < F.lit(s.upper)))}[s.kind]().alias(hidden[s.column]))
         wide = hits.groupBy("_row").agg(*aggs)

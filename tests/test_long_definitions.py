@@ -41,6 +41,20 @@ def test_wide_steplist_with_many_codes(spark):
     assert S.evaluate_steplist(twice, alone, codes, "2002-01-01").first()[alone[0].column] == "CASE"
 
 
+def test_hits_are_added_up_before_they_are_shuffled(spark):
+    """The shuffle after the cells are taken apart has one record a row, not one a hit; equal rows count once."""
+    codes = spark.createDataFrame([("a.csv", "A codes", "c1"), ("a.csv", "A codes", "x,y")], "file string, category string, code string")
+    steps = S.plan_steplist([(1, "codelist", "a.csv:3")], codes)
+    cells = {"1": "(c1,2001-01-01),(c1,2001-01-02),(c1,2001-01-03)", "2": "(c1,2001-01-01),(c1,2001-01-02)", "3": "", "4": None}
+    rows = [(p, c) for p, c in cells.items() for _ in range(1 + 2 * (p in "24"))]
+    wide = spark.createDataFrame(rows, "`patient-id` string, codes string").repartition(3)
+    out = S.evaluate_steplist(wide, steps, codes, "2002-01-01")
+    got = [(r["patient-id"], r[steps[0].column]) for r in out.collect()]
+    assert sorted(got) == sorted([("1", "CASE")] + [(p, "UNK") for p, _ in rows if p != "1"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate ")[1:]
+    assert [p.split("]")[0].count(",") for p in plan] == [0]          # one aggregate, keyed by the row alone
+
+
 def test_group_codelists_number_rows_on(spark):
     cl = spark.createDataFrame([(f, i, {"code": f"{f}{i}", "description": f"TermA of {f} number{i}"}) for f, n in (("b", 3), ("a", 2), ("c", 4)) for i in range(n)],
                                "filename string, row_no int, attrs map<string,string>")
