@@ -52,3 +52,20 @@ def test_xml_records_are_written_in_files_of_so_many_rows(spark, tmp_path, monke
      .coalesce(1).write.parquet(str(tmp_path / "customer.parquet")))
     assert Q.q_s5_cohort_from_xml(spark, str(tmp_path)).count() == 25_000
     assert len(list((tmp_path / "xml").glob("part-*"))) >= 3
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    """What led to a stored table leaves no shuffle files behind; its rows and types stay."""
+    import time
+
+    from phenospark.session import store_and_free
+
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    known = lambda: {k for k in range(20_000) if tracker.containsShuffle(k)}
+    before = known()
+    out = store_and_free(spark.range(1000).selectExpr("id % 7 AS k", "CAST(id AS string) AS v").repartition(5, "k"))
+    ended = time.time() + 10
+    while known() - before and time.time() < ended:
+        time.sleep(0.1)
+    assert not known() - before
+    assert out.dtypes == [("k", "bigint"), ("v", "string")] and out.count() == 1000 and out.select("k").distinct().count() == 7
